@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanloom.llm import token_counts, topk
+from spanloom.llm import quality, token_counts, topk
 
-MODULES = [token_counts, topk]
+MODULES = [quality, token_counts, topk]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
