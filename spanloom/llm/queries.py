@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanloom.llm import mixing, near_dedup, packing, quality, token_counts, topk
+from spanloom.llm import mixing, near_dedup, packing, quality, token_counts, token_store, topk
 
-MODULES = [mixing, near_dedup, packing, quality, token_counts, topk]
+MODULES = [mixing, near_dedup, packing, quality, token_counts, token_store, topk]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
