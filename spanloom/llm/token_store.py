@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import materialize, new_dir, table
 from spanloom.llm.encoding import encoder, public_path
+from spanloom.llm.files import into_place, open_uri
 
 MAGIC = b"SLTOKEN1"
 INDEX_MAGIC = b"SLINDEX1"
@@ -142,23 +143,6 @@ class Index:
         return place, (at >= 0) & (place["print"] == fingerprints(keys))
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
-def _into_place(folder: str, name: str, write: Callable) -> None:
-    """Writes a file under a name of this attempt and moves it to its own."""
-    files, path = _open(folder)
-    files.create_dir(path, recursive=True)
-    context = TaskContext.get()
-    mine = f"{path}/.{name}.{context.taskAttemptId() if context else 0}"
-    with files.open_output_stream(mine) as out:
-        write(out)
-    files.move(mine, f"{path}/{name}")
-
-
 def shard_name(shard: int) -> str:
     return f"shard-{shard:07d}.bin"
 
@@ -171,7 +155,7 @@ class Shard:
     """Reads one shard file."""
 
     def __init__(self, folder: str, shard: int):
-        files, path = _open(folder)
+        files, path = open_uri(folder)
         self.file = files.open_input_file(f"{path}/{shard_name(shard)}")
         size = self.file.size()
         docs, ids, self.width, magic = struct.unpack(FOOTER, self.file.read_at(FOOTER_SIZE, size - FOOTER_SIZE))
@@ -206,7 +190,7 @@ class TokenStore:
                         continue
                     if at[part[0]] != bucket:
                         bucket = at[part[0]]
-                        files, path = _open(folder)
+                        files, path = open_uri(folder)
                         with files.open_input_file(f"{path}/{index_name(bucket)}") as f:
                             index = Index(f.read())
                     place, there = index.find(h[part].view(np.uint64))
@@ -279,7 +263,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
             out.write(np.array(bounds, "<u8").tobytes())
             out.write(struct.pack(FOOTER, len(keys), bounds[-1], enc.width, MAGIC))
 
-        _into_place(folder, shard_name(shard), body)
+        into_place(folder, shard_name(shard), body)
         n = len(keys)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(n, shard)), pa.array(np.arange(n)), pa.array(np.diff(bounds))], names=["doc_id", "shard", "ordinal", "n_tokens"])
 
@@ -299,7 +283,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
 
     def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         raw = index_bytes(pdf["h"].to_numpy(np.int64).view(np.uint64), *(pdf[c].to_numpy(np.int64) for c in ("shard", "ordinal", "rows")))
-        _into_place(folder, index_name(int(key[0])), lambda out: out.write(raw))
+        into_place(folder, index_name(int(key[0])), lambda out: out.write(raw))
         return pd.DataFrame({"bucket": [key[0]], "n_bytes": [len(raw)]})
 
     materialize(keyed.groupBy("bucket").applyInPandas(index, "bucket int, n_bytes long"), "token-index")
