@@ -47,6 +47,9 @@ TEXT_AT_ONCE = 3_000_000
 #: Shingles of a chunk, about; a task holds two chunks at most.
 CHUNK_SHINGLES = 1_000_000
 
+#: The broadcast bitmap of texts to verify: 8 MB at most.
+BITMAPS, BITMAP_BITS = 2048, 32768
+
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -240,6 +243,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from links()
 
 
+def bitmap(rows: DataFrame, key: str) -> DataFrame:
+    """A bit for every key's hash, in BITMAPS rows of 4 KB at most, whatever the number of keys."""
+    h = F.xxhash64(key)
+    bits = rows.select(F.pmod(F.shiftright(h, 20), F.lit(BITMAPS)).cast("int").alias("__b"), F.pmod(h, F.lit(BITMAP_BITS)).alias("__p"))
+    return bits.groupBy("__b").agg(F.bitmap_construct_agg("__p").alias("__m"))
+
+
+def with_bit(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """The rows whose key's bit is set: all that have a key of the bitmap and few others, without a shuffle of them."""
+    h = F.xxhash64(key)
+    marked = rows.withColumns({"__b": F.pmod(F.shiftright(h, 20), F.lit(BITMAPS)).cast("int"), "__p": F.pmod(h, F.lit(BITMAP_BITS)).cast("int")})
+    byte = F.conv(F.hex(F.expr("substring(__m, __p div 8 + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, __p % 8)"))
+    return marked.join(F.broadcast(bits), "__b").where(hit != 0).drop("__b", "__p", "__m")
+
+
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, n) of every row, and (digest, rep, class_id, first) of every distinct text with words.
 
@@ -260,7 +279,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     asked = materialize(weighed.join(chunks, "root").select("root", "node", "digest", "rep", "g", F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("c")), "dedup-asked")
     most = asked.agg(F.max("g")).first()[0] or 0
 
-    found = keyed.join(asked.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    near = with_bit(keyed, "digest", bitmap(asked, "digest"))
+    found = near.join(asked.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     tasks = found.select("root", "node", "text", "c", other.alias("o")).select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "text")
     ordered = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
