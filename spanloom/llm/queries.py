@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, mixing, near_dedup, packing, quality, token_counts, token_store, topk, warc
+from spanloom.llm import chat, licenses, mixing, near_dedup, packing, quality, token_counts, token_store, topk, warc
 
-MODULES = [chat, mixing, near_dedup, packing, quality, token_counts, token_store, topk, warc]
+MODULES = [chat, licenses, mixing, near_dedup, packing, quality, token_counts, token_store, topk, warc]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
