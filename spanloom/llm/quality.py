@@ -15,7 +15,7 @@ alike, each on its own; an empty table gives no rows; further columns are ignore
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,11 +83,11 @@ def class_counts(text: Column) -> list[Column]:
     return let(rest, counts)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: the base counts and both histograms, in one pass over the texts."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: the base counts and both histograms, in one pass over the texts; ``carry`` are columns kept."""
     listed = F.col(lang_col).isin(list(COMMON_WORDS))
     every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.when(listed, F.col(lang_col)).otherwise(POOLED).alias("lang"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.when(listed, F.col(lang_col)).otherwise(POOLED).alias("lang"), *carry)
 
     def of_words(w: Column) -> Column:
         common = F.filter(w, lambda x: x.isin(every))
@@ -121,13 +121,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(lines, of_lines).alias("n_dup_lines"),
         let(words(F.col("text")), of_words).alias("w"),
+        *carry,
     )
     blanks = F.col("n_chars") - F.col("n_unspaced")
     rest = F.col("c.all") - F.col("c.upper") - F.col("c.point") - F.col("c.space")
     chars = F.array(F.col("n_unspaced") - F.col("c.all"), blanks + F.col("c.space"), F.col("c.upper"), F.col("c.point"), rest)
     return rows.select(
         "doc_id", "lang", "n_chars", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words",
-        F.transform(chars, lambda x: x.cast("double")).alias("chars"), F.transform("w.common", lambda x: x.cast("double")).alias("common"),
+        F.transform(chars, lambda x: x.cast("double")).alias("chars"), F.transform("w.common", lambda x: x.cast("double")).alias("common"), *carry,
     )
 
 
@@ -226,6 +227,17 @@ def rules(docs: DataFrame, refs: dict | None = None, **cols: str) -> DataFrame:
     return judged(rows, refs).drop("chars", "common", "lang", "n_chars")
 
 
+def keep(docs: DataFrame, refs: dict | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that the rules keep, with all their columns.
+
+    The documents are written beside their features, so that one pass over the texts serves references and verdicts.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.select(row, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = materialize(features(named, carry=["row"]), "quality")
+    return judged(rows, refs).where("kept").select("row.*")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(table(spark, sf_dir, "documents"))
 
