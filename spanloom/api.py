@@ -1,8 +1,8 @@
 """Queries over HTTP, and a page to ask them from.
 
 ``POST /sql`` with ``{"sql": ...}`` answers ``{"rows": [...], "elapsed_ms": x}``; an optional ``organization_id`` and
-``project_id`` scope the tables. 400 with the reason for a query that fails or isn't one. Rows stream to the answer as
-partitions finish; ids are hexadecimal, instants RFC 3339, and null columns are left out.
+``project_id`` scope the tables. 400 with the reason for a query that fails or isn't one. Rows are fetched a
+partition at a time; ids are hexadecimal, instants RFC 3339, and null columns are left out.
 """
 
 from __future__ import annotations
