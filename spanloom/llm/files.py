@@ -22,4 +22,9 @@ def into_place(folder: str, name: str, write: Callable) -> None:
     mine = f"{path}/.{name}.{context.taskAttemptId() if context else 0}"
     with files.open_output_stream(mine) as out:
         write(out)
-    files.move(mine, f"{path}/{name}")
+    try:
+        files.move(mine, f"{path}/{name}")
+    except OSError:  # not every store lets a file be replaced; another attempt's is the same
+        if files.get_file_info(f"{path}/{name}").type.name != "File":
+            raise
+        files.delete_file(mine)

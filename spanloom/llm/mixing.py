@@ -140,6 +140,8 @@ def _fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): how often each document goes into the mix."""
+    if block_docs < 4 * (HELD + 2):
+        raise ValueError("a block has to be several times what it hands on")
     rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, cap)
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)

@@ -316,5 +316,24 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+#: All pairs with a shingle in common, and who reaches whom over their links.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), t AS (
+  SELECT row_number() OVER () AS node, text, w, rep FROM (SELECT text, any_value(w) AS w, min(doc_id) AS rep FROM d WHERE len(w) > 0 GROUP BY text)
+), s AS (
+  SELECT node, shingle, count(*) AS c
+  FROM (SELECT node, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM t) GROUP BY ALL
+), n AS (SELECT node, sum(c) AS n FROM s GROUP BY node),
+p AS (SELECT x.node AS a, y.node AS b, sum(least(x.c, y.c)) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.node < y.node GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.node = a JOIN n nb ON nb.node = b WHERE shared >= 0.8 * (na.n + nb.n - shared) - 0.000000001),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT node, node FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT r.node, min(t.rep) AS class_id FROM r JOIN t ON t.node = r.root GROUP BY r.node)
+SELECT d.doc_id, CASE WHEN len(d.w) = 0 THEN d.doc_id ELSE c.class_id END AS class_id
+FROM d LEFT JOIN t ON t.text = d.text LEFT JOIN c ON c.node = t.node
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_near_dedup": op4_near_dedup}
-SQL: dict[str, str] = {}
+SQL = {"op4_near_dedup": OP4_SQL}

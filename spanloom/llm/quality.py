@@ -200,8 +200,8 @@ def _distances(refs: dict) -> tuple[Column, Column]:
         if lang != POOLED:
             qc = F.when(F.col("lang") == lang, array(c)).otherwise(qc)
             qw = F.when(F.col("lang") == lang, array(w)).otherwise(qw)
-    dc = F.when(F.col("n_chars") >= MIN_CHARS_TESTED, distance(F.col("p_chars"), qc))
-    dw = F.when(F.col("n_words") >= MIN_WORDS_TESTED, distance(F.col("p_words"), qw))
+    dc = F.when((F.col("n_chars") >= MIN_CHARS_TESTED) & qc.isNotNull(), distance(F.col("p_chars"), qc))
+    dw = F.when((F.col("n_words") >= MIN_WORDS_TESTED) & qw.isNotNull(), distance(F.col("p_words"), qw))
     return dc, dw
 
 
@@ -238,9 +238,61 @@ def keep(docs: DataFrame, refs: dict | None = None, id_col: str = "doc_id", text
     return judged(rows, refs).where("kept").select("row.*")
 
 
+CONTRACT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(table(spark, sf_dir, "documents"))
+    return rules(table(spark, sf_dir, "documents")).select(*CONTRACT)
+
+
+def _sql() -> str:
+    """The rules and both fits of the references for DuckDB."""
+    nc, nw = len(CHAR_CLASSES), len(COMMON_WORDS["en"]) + 1
+    lists = " ".join(f"WHEN '{lang}' THEN {ws}" for lang, ws in COMMON_WORDS.items())
+    langs = ", ".join(f"'{lang}'" for lang in COMMON_WORDS)
+    means = lambda p, n: "[" + ", ".join(f"round(avg({p}[{i + 1}]), 9)" for i in range(n)) + "]"
+    side = lambda x: f"(CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / (z[1] + z[2])) ELSE 0 END)"
+    js = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: {side('z[1]')} + {side('z[2]')})) / 2, 0))"
+    chance = lambda bins, n: f"sqrt({(bins - 1) / (8 * math.log(2))!r} / greatest({n}, 1))"
+    enough = f"NOT base_failed AND n_chars >= {MIN_CHARS_TESTED} AND n_words >= {MIN_WORDS_TESTED}"
+
+    def fit(name: str, rows: str, where: str) -> str:
+        return f"""{name} AS (
+  SELECT lang, {means("pc", nc)} AS qc, {means("pw", nw)} AS qw FROM {rows} WHERE {where} AND lang <> '{POOLED}' GROUP BY lang
+  UNION ALL SELECT '{POOLED}', {means("pc", nc)}, NULL FROM {rows} WHERE {where} HAVING count(*) > 0)"""
+
+    def far(name: str, refs: str, widen: float) -> str:
+        return f"""{name} AS (
+  SELECT f.*, coalesce((CASE WHEN n_chars >= {MIN_CHARS_TESTED} THEN {js("pc", "coalesce(r.qc, o.qc)")} END) > {widen * MAX_CHAR_DISTANCE!r} + {chance(nc, "n_chars")}, FALSE)
+    OR coalesce((CASE WHEN n_words >= {MIN_WORDS_TESTED} AND r.qw IS NOT NULL THEN {js("pw", "r.qw")} END) > {widen * MAX_WORD_DISTANCE!r} + {chance(nw, "n_words")}, FALSE) AS far
+  FROM f LEFT JOIN {refs} r ON r.lang = f.lang LEFT JOIN (SELECT qc FROM {refs} WHERE lang = '{POOLED}') o ON TRUE)"""
+
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({langs}) THEN lang ELSE '{POOLED}' END AS lang FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+         regexp_replace(t, '[\p{{Ll}}\p{{N}} ]+', '', 'g') AS r, len(replace(t, ' ', '')) AS unspaced, CASE lang {lists} END AS cw
+  FROM d
+), win AS (SELECT rid, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) > {WINDOW})),
+dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT rid, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM dup) GROUP BY rid),
+k AS (
+  SELECT w.*, len(t) AS n_chars, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0) AS BIGINT) AS word_chars,
+         len(t) - len(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+         len(r) - len(regexp_replace(r, '\p{{Lu}}+', '', 'g')) AS up, len(r) - len(regexp_replace(r, '[.,;:!?''"()¿¡«»-]+', '', 'g')) AS po, len(r) - len(regexp_replace(r, '[\t-\r]+', '', 'g')) AS bl,
+         list_transform(cw, lambda c: len(list_filter(ws, lambda x: x = c)) / greatest(len(ws), 1)) AS hist
+  FROM w LEFT JOIN rep USING (rid)
+), f AS (
+  SELECT rid, doc_id, lang, n_chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+         n_words < {MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         list_transform([unspaced - len(r), n_chars - unspaced + bl, up, po, len(r) - up - po - bl], lambda x: x / greatest(n_chars, 1)) AS pc,
+         list_append(hist, greatest(1 - list_sum(hist), 0)) AS pw
+  FROM k
+), {fit("q1", "f", enough)}, {far("f1", "q1", FIRST_FIT)}, {fit("q2", "f1", enough + " AND NOT far")}, {far("f2", "q2", 1.0)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM f2
+"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_quality_rules": op6_quality_rules}
-SQL: dict[str, str] = {}
+SQL = {"op6_quality_rules": _sql()}
