@@ -28,7 +28,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, with_ids=False)
 
 
 STAGES = [

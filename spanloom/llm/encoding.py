@@ -7,9 +7,13 @@ result (runs of blanks under a tokenizer that keeps them).
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of a worker's table.
 CACHE_ENTRIES = 1_000_000
@@ -17,14 +21,14 @@ CACHE_ENTRIES = 1_000_000
 ENDS = ".,;:!?"
 #: Words that go to the library in one string.
 JOINED = 1500
+#: Characters from which a text is encoded by itself, and its words of one look into the table.
+LONG, PIECES_AT_ONCE = 2_000_000, 200_000
 
 
 class Encoder:
     """ids of whole texts, as bytes of little-endian unsigned integers of ``width`` bytes."""
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,11 +44,16 @@ class Encoder:
         keeps = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         plain = spec["model"]["type"] == "BPE" and not any(" " in s for s in self.special)
-        plain = plain and bool(self.special)
+        plain = plain and bool(self.special) and (keeps or bool(spec["model"].get("end_of_word_suffix")))
         self.mode = "drops" if drops and plain else "keeps" if keeps and plain else "whole"
         self.blank = " " if self.mode == "keeps" else ""
-        self.mark_id = self.tokenizer.token_to_id(self.special[0]) if self.special else None
-        self.words: dict[str, bytes | None] = {}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.edge = np.array([n.startswith("\u0120") if self.mode == "keeps" else bool(suffix) and n.endswith(suffix) for n in names])
+        self.mark = np.array([bool(self.special) and n == self.special[0] for n in names])
+        self.words: dict[str, bytes] = {}
+        #: Words that begin or end with a blank.
+        self.beside: set[str] = set()
         self.heads: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
@@ -57,7 +66,8 @@ class Encoder:
             ask = []
             for w in missing:
                 if not w or w[0].isspace() or w[-1].isspace():
-                    words[w] = None  # next to blanks: its text goes to the library as a whole
+                    words[w] = b""  # next to blanks: its text goes to the library as a whole
+                    self.beside.add(w)
                 else:
                     ask.append(w)
         else:
@@ -66,23 +76,39 @@ class Encoder:
         # What ends a word after a letter is a piece of its own under both kinds, so stems are asked once.
         ends = {w: (w[:-1], w[-1]) for w in ask if len(w) > 1 and w[-1] in ENDS and w[-2].isalpha()}
         ask = list({ends[w][0] if w in ends else w for w in ask}.difference(words))
-        for at in range(0, len(ask), JOINED):
-            part = ask[at : at + JOINED]
-            odd = [w for w in part if any(x in w for x in self.special)]
-            for w in odd:
+        plain, odd = [], []
+        for w in ask:
+            (odd if any(x in w for x in self.special) or not (self.mode == "keeps" or (w.isalpha() and max(w) < "\u0100")) else plain).append(w)
+        self._ask(plain, " ", self.edge)
+        self._ask([w for w in odd if not any(x in w for x in self.special)], self.special[0], self.mark)
+        for w in odd:
+            if w not in words:
                 words[w] = self.whole(self.blank + w)
-            if odd:
-                part = [w for w in part if w not in words]
-            # A separator that the library reads as one id; between two of them each word stands alone.
-            mark = self.special[0]
-            ids = np.array(self.tokenizer.encode(mark.join([self.blank + w for w in part]) if part else "", add_special_tokens=False).ids, self.dtype)
-            cut = np.flatnonzero(ids == self.mark_id) * self.width
-            raw = ids.tobytes()
-            for w, a, b in zip(part, [0, *(cut + self.width).tolist()], [*cut.tolist(), len(raw)], strict=True):
-                words[w] = raw[a:b]
         for w, (stem, end) in ends.items():
             words[w] = words[stem] + self._alone(end)
 
+    def _ask(self, ask: list[str], between: str, edge: np.ndarray) -> None:
+        """Learns the words, many in one string; ``edge`` tells the ids at which one of them begins or ends.
+
+        Joined by a blank, a word begins with the one id that has its blank in front, or ends with the one that
+        closes a word. Joined by a special token, which the library reads as one id, any word stands alone.
+        """
+        parts = [ask[i : i + JOINED] for i in range(0, len(ask), JOINED)]
+        head = self.blank if between == " " else ""
+        texts = [head + between.join(p if between == " " else [self.blank + w for w in p]) for p in parts]
+        for part, enc in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(enc.ids, self.dtype)
+            at = np.flatnonzero(edge[ids])
+            if between != " ":
+                first, last = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
+            elif self.mode == "keeps":
+                first, last = at.tolist(), [*at[1:].tolist(), len(ids)]
+            else:
+                first, last = [0, *(at[:-1] + 1).tolist()], (at + 1).tolist()
+            raw, size = ids.tobytes(), self.width
+            for w, a, b in zip(part, first, last, strict=True):
+                self.words[w] = raw[a * size : b * size]
+
     def _alone(self, text: str) -> bytes:
         """ids of a string that has no blank in front."""
         found = self.heads.get(text)
@@ -92,35 +118,72 @@ class Encoder:
             found = self.heads[text] = self.whole(text)
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of every text; none of them null."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         if self.mode == "whole":
-            return [self.whole(t) for t in texts]
-        split = [t.split(" ") for t in texts]
-        asked = set().union(*split)
-        missing = asked.difference(self.words)
-        if len(self.words) + len(missing) > self.cache_entries:
-            self.words.clear()
-            missing = asked
-        if missing:
-            self._learn(list(missing))
-        get, out = self.words.__getitem__, []
-        for text, pieces in zip(texts, split, strict=True):
-            try:
-                if self.mode == "keeps":
-                    out.append(self._head(pieces[0]) + b"".join(map(get, pieces[1:])) if text else b"")
-                else:
-                    out.append(b"".join(map(get, pieces)))
-            except TypeError:
-                out.append(self.whole(text))
+            return [self.whole(t) for t in texts.to_pylist()]
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        if not len(size) or size.max() <= LONG:
+            return self._together(texts, size)
+        out, at = [], 0
+        for long, group in itertools.groupby((size > LONG).tolist()):
+            n = sum(1 for _ in group)
+            part = texts.slice(at, n)
+            out += map(self._long, part.to_pylist()) if long else self._together(part, size[at : at + n])
+            at += n
+        return out
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The words' ids, asking the library for those that are not in the table. ``words`` are distinct."""
+        found = list(map(self.words.get, words))
+        missing = [w for w, x in zip(words, found, strict=True) if x is None]
+        if not missing:
+            return found
+        if len(self.words) + len(missing) > self.cache_entries:  # the older half goes; what recurs is soon back
+            for w in list(itertools.islice(self.words, self.cache_entries // 2)):
+                del self.words[w]
+        self._learn(missing)
+        return [self.words[w] if x is None else x for w, x in zip(words, found, strict=True)]
+
+    def _together(self, texts: pa.Array, chars: np.ndarray) -> list[bytes]:
+        """Texts by their distinct words: one look into the table for each, the rest is array work."""
+        split = pc.split_pattern(texts, " ")
+        bounds, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        word = coded.indices.to_numpy()
+        names = coded.dictionary.to_pylist()
+        found = self._known(names)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        length = size[word]
+        if self.mode == "keeps":
+            length[bounds[:-1]] = 0  # first words have no blank in front
+        end = np.cumsum(length)
+        source = np.repeat((np.cumsum(size) - size)[word] - (end - length), length) + np.arange(end[-1] if len(end) else 0)
+        raw = ids[source].tobytes()
+        at = (np.concatenate([[0], end])[bounds] * self.width).tolist()
+        out = [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+        if self.mode == "keeps":
+            beside = np.zeros(len(texts), bool)
+            if self.beside.intersection(names):
+                blank = np.array([w in self.beside for w in names], bool)[word]
+                beside = np.add.reduceat(blank, bounds[:-1]) > 0
+            out = [self.whole(texts[i].as_py()) if b else (self._alone(names[w]) if n else b"") + x for i, (n, x, b, w) in enumerate(zip(chars.tolist(), out, beside, word[bounds[:-1]].tolist(), strict=True))]
         return out
 
-    def _head(self, word: str) -> bytes:
-        """ids of a text's first word, which has no blank in front."""
-        if not word:
-            return b""
-        if self.words[word] is None:
-            raise TypeError
-        return self._alone(word)
+    def _long(self, text: str) -> bytes:
+        """A text too long for arrays of its ids at once."""
+        pieces = text.split(" ")
+        parts = []
+        for i in range(0, len(pieces), PIECES_AT_ONCE):
+            names = list(set(pieces[i : i + PIECES_AT_ONCE]))
+            known = dict(zip(names, self._known(names), strict=True))
+            if self.beside.intersection(names):
+                return self.whole(text)
+            parts += map(known.__getitem__, pieces[i : i + PIECES_AT_ONCE])
+        if self.mode == "keeps":
+            parts[0] = self._alone(pieces[0])
+        return b"".join(parts)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -38,7 +38,7 @@ LEAST_FREE, MOST_FREE = 1, 2
 #: Windows of a block, about.
 WINDOWS = 128
 #: Documents whose texts are encoded in one call.
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE = 1024
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -109,13 +109,13 @@ def pack_tails(tails: list[tuple[int, int, int]], capacity: int = CAPACITY, piec
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids)."""
+def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids); ids only if wanted."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path or public_path("byte_bpe_50k.json"))
         end = np.array([end_id], enc.dtype).tobytes()
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple] = []  # (doc_id, ids) of the block's documents
         tails: list[tuple[int, int, int]] = []
@@ -125,7 +125,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: in
         def piece(d: int, start: int, n: int, seq: int, offset: int) -> None:
             doc_id, ids = held[d]
             cut = ids[start : start + n]
-            rows.append((doc_id, start, n, zlib.crc32(cut), len(ids), seq, offset, cut.tobytes()))
+            row = (doc_id, start, n, zlib.crc32(cut), len(ids), seq, offset)
+            rows.append((*row, cut.tobytes()) if with_ids else row)
 
         def close() -> None:
             nonlocal sequence, waiting
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: in
             waiting = 0
 
         def flush() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 7 + [pa.binary()]
+            kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
             b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
             rows.clear()
             return b
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: in
         for b in batches:
             ids_of, texts = b.column(0), b.column(1)
             for at in range(0, len(b), DOCS_AT_ONCE):
-                for doc_id, raw in zip(ids_of.slice(at, DOCS_AT_ONCE).to_pylist(), enc.encode(texts.slice(at, DOCS_AT_ONCE).to_pylist()), strict=True):
+                for doc_id, raw in zip(ids_of.slice(at, DOCS_AT_ONCE).to_pylist(), enc.encode(texts.slice(at, DOCS_AT_ONCE)), strict=True):
                     ids = np.frombuffer(raw + end, enc.dtype).astype("<u4")
                     d = len(held)
                     held.append((doc_id, ids))
@@ -166,11 +167,11 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: in
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_packing": op3_packing}

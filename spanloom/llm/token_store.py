@@ -41,7 +41,7 @@ FOOTER_SIZE = struct.calcsize(FOOTER)
 #: Documents of a shard and keys of an index file, about.
 SHARD_DOCS = 8192
 INDEX_KEYS = 65_536
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE = 1024
 #: Bits a key at each level, and levels after which the keys left are listed one by one.
 GAMMA, LEVELS = 2.0, 40
 
@@ -177,8 +177,9 @@ class TokenStore:
     def __init__(self, spark: SparkSession, folder: str, buckets: int, shards: DataFrame, nulls: DataFrame):
         self.spark, self.folder, self.buckets, self.shards, self.nulls = spark, folder, buckets, shards, nulls
 
-    def read(self, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-        """(doc_id, start, n_tokens, ids_crc32, ids) of every row stored under the keys, through the index."""
+    def read(self, keys: DataFrame, key_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
+        """(doc_id, start, n_tokens, ids_crc32, ids) of every row stored under the keys, through the index; ids only if
+        wanted."""
         folder = self.folder
 
         def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,9 @@ class TokenStore:
                         shard, source = at, Shard(folder, at)
                     for k in range(ordinal, ordinal + rows):
                         ids = source.ids(k)
-                        out.append((key, first + int(source.bounds[k]), len(ids), zlib.crc32(ids.astype("<u4")), ids.astype("<u4").tobytes()))
+                        wide = ids.astype("<u4")
+                        row = (key, first + int(source.bounds[k]), len(ids), zlib.crc32(wide))
+                        out.append((*row, wide.tobytes()) if with_ids else row)
                         if len(out) >= 4096:
                             yield _batch(out)
                             out = []
@@ -226,12 +229,14 @@ class TokenStore:
         places = places.unionByName(self.nulls.join(null_asked, F.lit(True), "left_semi").select(F.lit(None).cast("long").alias("doc_id"), "shard", "ordinal", "rows"))
         known = places.join(self.shards.select("shard", "first_id"), "shard").select("doc_id", "shard", "ordinal", "rows", "first_id")
         in_order = known.repartition("shard").sortWithinPartitions("shard", "ordinal")
-        return in_order.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+        return in_order.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64()] * 4 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
 
 
 def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> TokenStore:
@@ -255,7 +260,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
             while b is not None:
                 for at in range(0, len(b), DOCS_AT_ONCE):
                     keys.extend(b.column(0).slice(at, DOCS_AT_ONCE).to_pylist())
-                    raws = enc.encode(b.column(1).slice(at, DOCS_AT_ONCE).to_pylist())
+                    raws = enc.encode(b.column(1).slice(at, DOCS_AT_ONCE))
                     for raw in raws:
                         bounds.append(bounds[-1] + len(raw) // enc.width + 1)
                     out.write(end.join([*raws, b""]))
@@ -292,7 +297,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return write(docs).read(docs.select("doc_id")).drop("ids")
+    return write(docs).read(docs.select("doc_id"), with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_store": op1_token_store}
