@@ -87,9 +87,11 @@ class Files:
         fs, p = self._at(path)
         return fs.exists(p)
 
-    def list(self, path: str) -> list:
+    def list(self, path: str) -> list[File]:
+        """What stands in a folder; a folder in it has size -1."""
         fs, p = self._at(path)
-        return list(fs.listStatus(p)) if fs.exists(p) else []
+        found = fs.listStatus(p) if fs.exists(p) else []
+        return [File(s.getPath().toString(), -1 if s.isDirectory() else s.getLen()) for s in found]
 
     def make(self, path: str) -> None:
         fs, p = self._at(path)
@@ -139,23 +141,26 @@ class Store:
     def partitions(self, spec: RecordSpec) -> list[str]:
         """The values of the table's partitions, newest first; directories that are none are passed over."""
         found = []
-        for s in self.files.list(self.table_path(spec)):
-            name = s.getPath().getName()
-            if s.isDirectory() and name.startswith(PARTITION + "="):
-                value = name.removeprefix(PARTITION + "=").replace("%3A", ":")
+        for f in self.files.list(self.table_path(spec)):
+            if f.size < 0 and f.name.startswith(PARTITION + "="):
+                value = f.name.removeprefix(PARTITION + "=").replace("%3A", ":")
                 if partition_start(value):
                     found.append(value)
         return sorted(set(found), reverse=True)
 
     def all_files(self, spec: RecordSpec, value: str) -> list[File]:
-        statuses = self.files.list(f"{self.table_path(spec)}/{directory(value)}")
-        return sorted((File(s.getPath().toString(), s.getLen()) for s in statuses if s.isFile() and s.getPath().getName().endswith(SUFFIX)), key=lambda f: f.name)
+        found = self.files.list(f"{self.table_path(spec)}/{directory(value)}")
+        return sorted((f for f in found if f.size >= 0 and f.name.endswith(SUFFIX)), key=lambda f: f.name)
 
     def live_files(self, spec: RecordSpec, values: Iterable[str] | None = None) -> list[File]:
         return [f for v in (self.partitions(spec) if values is None else values) for f in split_live(self.all_files(spec, v))[0]]
 
     def read(self, spec: RecordSpec, files: Iterable[File] | None = None) -> DataFrame:
-        """The rows of the live files, with ``partition``; columns are as declared, whatever the files say."""
+        """The rows of the live files, with ``partition``; columns are as declared, whatever the files say.
+
+        The files are named one by one: a folder would be listed again by Spark, and a merge that commits in between
+        would show its rows twice.
+        """
         paths = [f.path for f in (self.live_files(spec) if files is None else files)]
         if not paths:
             return self.spark.createDataFrame([], spec.read_schema)
@@ -183,11 +188,10 @@ class Store:
         try:
             writer.partitionBy(PARTITION).parquet(stage)
             for d in self.files.list(stage):
-                if not d.isDirectory():
+                if d.size >= 0:
                     continue
-                folder = d.getPath().getName()
-                value = folder.removeprefix(PARTITION + "=").replace("%3A", ":")
-                parts = sorted((s.getPath().toString() for s in self.files.list(d.getPath().toString()) if s.getPath().getName().endswith(SUFFIX)))
+                value = d.name.removeprefix(PARTITION + "=").replace("%3A", ":")
+                parts = sorted(f.path for f in self.files.list(d.path) if f.name.endswith(SUFFIX))
                 for i, part in enumerate(parts):
                     final = f"{self.table_path(spec)}/{directory(value)}/{name(value, i) if name else new_id() + SUFFIX}"
                     self.files.rename(part, final)

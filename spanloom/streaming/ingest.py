@@ -67,8 +67,8 @@ class Ingest:
 
     def sweep(self) -> None:
         """Deletes bodies of committed batches that an earlier run left; the stream's own log says which."""
-        commits = [int(s.getPath().getName()) for s in self.store.files.list(f"{self.checkpoint}/commits") if s.getPath().getName().isdigit()]
-        logs = [s.getPath().toString() for s in self.store.files.list(f"{self.checkpoint}/sources/0") if not s.getPath().getName().startswith(".")]
+        commits = [int(f.name) for f in self.store.files.list(f"{self.checkpoint}/commits") if f.name.isdigit()]
+        logs = [f.path for f in self.store.files.list(f"{self.checkpoint}/sources/0") if not f.name.startswith(".")]
         if not commits or not logs:
             return
         entries = self.store.spark.read.schema("path string, batchId long").json(logs)
