@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    # With its scheme, so that Spark and the tasks' own file calls mean the same store.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full).rstrip("/")
 
 
 def new_dir(spark: SparkSession, tag: str) -> str:
@@ -28,20 +32,24 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read back.
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """The rows, written as Parquet to the shared folder and read back, and where they lie.
 
     Later jobs read the files, so neither a lost executor nor a second use repeats the work before them.
     """
     spark = df.sparkSession
     path = new_dir(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    return written(df, tag)[0]
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    """Removes an intermediate that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 

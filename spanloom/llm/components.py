@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import delete, written
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges between long ids -> (node, root) for every node with an edge; root is its component's least id.
 
-    Each round writes its edges to the shared folder, so neither lineage nor a lost executor adds up; rounds grow
+    Each round writes its edges to the shared folder and removes those before, so neither lineage nor disk adds up; rounds grow
     with the logarithm of the longest path. Hot nodes meet only in joins that split skew and in partial aggregates.
     """
-    now, mark = materialize(_distinct(edges.where("a <> b")), "components"), None
+    (now, path), mark = written(_distinct(edges.where("a <> b")), "components"), None
     while True:
-        now = materialize(_small_star(_large_star(now)), "components")
+        before, (now, path) = path, written(_small_star(_large_star(now)), "components")
+        delete(edges.sparkSession, before)
         then, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == then or not mark[0]:
             break

@@ -43,12 +43,12 @@ BANDS, ROWS = 25, 5
 #: Registers hit on average by the horizon: log(m) plus this.
 SLACK = 2.5
 #: Characters of text that are turned into arrays at once.
-TEXT_AT_ONCE = 3_000_000
+TEXT_AT_ONCE = 1_000_000
 #: Shingles of a chunk, about; a task holds two chunks at most.
 CHUNK_SHINGLES = 1_000_000
 
-#: The broadcast bitmap of texts to verify: 8 MB at most.
-BITMAPS, BITMAP_BITS = 2048, 32768
+#: A broadcast bitmap of texts: 4 MB at most.
+BITMAPS, BITMAP_BITS = 1024, 32768
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -250,13 +250,19 @@ def bitmap(rows: DataFrame, key: str) -> DataFrame:
     return bits.groupBy("__b").agg(F.bitmap_construct_agg("__p").alias("__m"))
 
 
-def with_bit(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """The rows whose key's bit is set: all that have a key of the bitmap and few others, without a shuffle of them."""
+def marked(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """Adds ``__hit``: whether the key's bit is set. It is for all keys of the bitmap and few others; nothing is
+    shuffled to tell."""
     h = F.xxhash64(key)
-    marked = rows.withColumns({"__b": F.pmod(F.shiftright(h, 20), F.lit(BITMAPS)).cast("int"), "__p": F.pmod(h, F.lit(BITMAP_BITS)).cast("int")})
+    placed = rows.withColumns({"__b": F.pmod(F.shiftright(h, 20), F.lit(BITMAPS)).cast("int"), "__p": F.pmod(h, F.lit(BITMAP_BITS)).cast("int")})
     byte = F.conv(F.hex(F.expr("substring(__m, __p div 8 + 1, 1)")), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, __p % 8)"))
-    return marked.join(F.broadcast(bits), "__b").where(hit != 0).drop("__b", "__p", "__m")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, __p % 8)")) != 0, F.lit(False))
+    return placed.join(F.broadcast(bits), "__b", "left").withColumn("__hit", hit).drop("__b", "__p", "__m")
+
+
+def with_bit(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """The rows whose key's bit is set."""
+    return marked(rows, key, bits).where("__hit").drop("__hit")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -303,13 +309,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that of the least id, with all its columns; rows without words all stay."""
-    _, texts = _classified(docs, id_col, text_col)
-    first = texts.where("first").select(F.col("digest").alias("__d"), F.col("rep").alias("__r"))
+    rows, texts = _classified(docs, id_col, text_col)
+    # Texts of which every row but one goes, or all. The others, most as a rule, pass without a shuffle or a join.
+    copied = rows.where("n > 0").groupBy("digest").agg(F.count("*").alias("m")).where("m > 1").select("digest")
+    touched = materialize(copied.unionByName(texts.where("not first").select("digest")), "dedup-touched")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     digest = F.unhex(F.md5(F.coalesce(text_col, F.lit(""))))
-    found = docs.withColumn("__digest", digest).join(first, (F.col("__digest") == F.col("__d")) & F.col(id_col).cast("long").eqNullSafe(F.col("__r")))
+    told = marked(docs.withColumn("__digest", digest), "__digest", bitmap(touched, "digest"))
+    wordless = n_words(F.col(text_col)) == 0
+    hit = told.where(F.col("__hit") & ~wordless)
+    first = texts.where("first").select(F.col("digest").alias("__d"), F.col("rep").alias("__r"))
+    found = hit.join(first, (F.col("__digest") == F.col("__d")) & F.col(id_col).cast("long").eqNullSafe(F.col("__r")))
     one = found.withColumn("__k", F.row_number().over(Window.partitionBy("__digest", "__r").orderBy(F.col("__d")))).where("__k = 1")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return one.select(*columns).unionByName(docs.where(n_words(F.col(text_col)) == 0).select(*columns))
+    return told.where(~F.col("__hit") | wordless).select(*columns).unionByName(one.select(*columns))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,4 @@ def test_bitmap_keeps_all_that_is_asked(spark):
     asked = keys.where("k like '%7'")
     found = nd.with_bit(keys, "k", nd.bitmap(asked, "k"))
     assert asked.exceptAll(found).count() == 0 and found.count() < 600 and found.columns == ["k"]
+    assert nd.marked(keys, "k", nd.bitmap(asked, "k")).count() == 5000
