@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's table.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 #: Signs that often end a word.
 ENDS = ".,;:!?"
 #: Words that go to the library in one string.
