@@ -170,6 +170,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(text, weights=w, minlength=len(part)).astype(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), bands], names=["doc_id", "digest", "n", "bands"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
 class Texts:

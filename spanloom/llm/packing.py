@@ -38,7 +38,7 @@ LEAST_FREE, MOST_FREE = 1, 2
 #: Windows of a block, about.
 WINDOWS = 128
 #: Documents whose texts are encoded in one call.
-DOCS_AT_ONCE = 512
+DOCS_AT_ONCE = 1024
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:

@@ -41,7 +41,7 @@ FOOTER_SIZE = struct.calcsize(FOOTER)
 #: Documents of a shard and keys of an index file, about.
 SHARD_DOCS = 8192
 INDEX_KEYS = 65_536
-DOCS_AT_ONCE = 512
+DOCS_AT_ONCE = 1024
 #: Bits a key at each level, and levels after which the keys left are listed one by one.
 GAMMA, LEVELS = 2.0, 40
 
