@@ -28,7 +28,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, with_ids=False)
+    # Workers have run the other stages before and hold memory from them, so the table of words is smaller here.
+    return packing.pack(docs, with_ids=False, cache_entries=600_000)
 
 
 STAGES = [

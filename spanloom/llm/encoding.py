@@ -186,13 +186,14 @@ class Encoder:
         return b"".join(parts)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> Encoder:
+    """The worker's encoder of a tokenizer file."""
+    if (path, cache_entries) not in _encoders:
+        _encoders[path, cache_entries] = Encoder(path, cache_entries)
+    return _encoders[path, cache_entries]
 
 
 def public_path(name: str) -> str:

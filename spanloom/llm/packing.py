@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import table
-from spanloom.llm.encoding import encoder, public_path
+from spanloom.llm.encoding import CACHE_ENTRIES, encoder, public_path
 
 CAPACITY = 1024
 #: Longest piece of a tail. One tail in LADDER is halved down to single ids: small pieces even the windows out.
@@ -109,12 +109,15 @@ def pack_tails(tails: list[tuple[int, int, int]], capacity: int = CAPACITY, piec
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids); ids only if wanted."""
+def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids); ids only if wanted.
+
+    ``cache_entries`` bounds the words that a worker remembers: memory against time.
+    """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path or public_path("byte_bpe_50k.json"))
+        enc = encoder(path or public_path("byte_bpe_50k.json"), cache_entries)
         end = np.array([end_id], enc.dtype).tobytes()
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple] = []  # (doc_id, ids) of the block's documents
