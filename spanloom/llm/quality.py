@@ -4,7 +4,7 @@ Every document's histogram over character classes and over the common words of i
 reference of that language by Jensen-Shannon distance (root of the divergence, base 2). A test applies only from a
 minimum length on, and its limit is widened by the distance that sampling alone gives a text of that length.
 
-The references are the mean histograms of all documents that pass the base rules and the guards, by language; they
+The references are the histograms of all documents that pass the base rules and the guards, by language; they
 are a few dozen numbers whatever the input, so they reach the plan as literals. Others can be handed in.
 
 Defined cases: a null text counts as empty (no words, so the base rules reject it); a language that is null or not
@@ -149,31 +149,32 @@ def _shares(rows: DataFrame) -> DataFrame:
     })
 
 
-def _means(rows: DataFrame) -> dict[str, tuple[list[float], list[float] | None]]:
+def _fit(rows: DataFrame, middle: bool) -> dict[str, tuple[list[float], list[float] | None]]:
     nc, nw = len(CHAR_CLASSES), len(COMMON_WORDS["en"]) + 1
     enough = ~base_failed() & (F.col("n_chars") >= MIN_CHARS_TESTED) & (F.col("n_words") >= MIN_WORDS_TESTED)
-    sums = [F.sum(F.col("p_chars")[i]).alias(f"c{i}") for i in range(nc)] + [F.sum(F.col("p_words")[i]).alias(f"w{i}") for i in range(nw)]
+    one = (lambda x: F.percentile_approx(x, 0.5, 10_000)) if middle else F.avg
+    values = [one(F.col("p_chars")[i]).alias(f"c{i}") for i in range(nc)] + [one(F.col("p_words")[i]).alias(f"w{i}") for i in range(nw)]
+    kept = rows.where(enough)
+    share = lambda xs: [round(x / (sum(xs) or 1.0), 9) for x in xs]
     out: dict[str, tuple[list[float], list[float] | None]] = {}
-    total, pooled = 0, [0.0] * nc
-    for r in rows.where(enough).groupBy("lang").agg(F.count("*").alias("n"), *sums).orderBy("lang").collect():
-        c = [r[f"c{i}"] for i in range(nc)]
-        total, pooled = total + r["n"], [a + b for a, b in zip(pooled, c, strict=True)]
-        if r["lang"] != POOLED:
-            out[r["lang"]] = [round(x / r["n"], 9) for x in c], [round(r[f"w{i}"] / r["n"], 9) for i in range(nw)]
-    if total:
-        out[POOLED] = [round(x / total, 9) for x in pooled], None
+    for r in kept.where(F.col("lang") != POOLED).groupBy("lang").agg(*values).collect():
+        out[r["lang"]] = share([r[f"c{i}"] for i in range(nc)]), share([r[f"w{i}"] for i in range(nw)])
+    r = kept.agg(*values).first()
+    if r["c0"] is not None:
+        out[POOLED] = share([r[f"c{i}"] for i in range(nc)]), None
     return out
 
 
 def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float] | None]]:
-    """Mean histograms by language over all documents of ``features``; at most one row for each listed language.
+    """Reference histograms by language over all documents of ``features``; at most one row for each listed language.
 
-    Fitted twice: the second time without the documents that are far from the first means, so that junk doesn't
-    shift the references.
+    Fitted twice: first the middle of each bin, which junk doesn't shift while it is less than half, then the means of
+    the documents that are near those.
     """
     rows = _shares(rows)
-    first = _means(rows)
-    return _means(rows.where(~_far(first, FIRST_FIT))) if first else first
+    first = _fit(rows, middle=True)
+    # Where no document is near the first fit, that stands.
+    return first | _fit(rows.where(~_far(first, FIRST_FIT)), middle=False) if first else first
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -250,16 +251,17 @@ def _sql() -> str:
     nc, nw = len(CHAR_CLASSES), len(COMMON_WORDS["en"]) + 1
     lists = " ".join(f"WHEN '{lang}' THEN {ws}" for lang, ws in COMMON_WORDS.items())
     langs = ", ".join(f"'{lang}'" for lang in COMMON_WORDS)
-    means = lambda p, n: "[" + ", ".join(f"round(avg({p}[{i + 1}]), 9)" for i in range(n)) + "]"
+    share = lambda xs: f"list_transform({xs}, lambda x: round(x / list_sum({xs}), 9))"
+    bins = lambda p, n, f: share("[" + ", ".join(f"{f}({p}[{i + 1}])" for i in range(n)) + "]")
     side = lambda x: f"(CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / (z[1] + z[2])) ELSE 0 END)"
     js = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: {side('z[1]')} + {side('z[2]')})) / 2, 0))"
     chance = lambda bins, n: f"sqrt({(bins - 1) / (8 * math.log(2))!r} / greatest({n}, 1))"
     enough = f"NOT base_failed AND n_chars >= {MIN_CHARS_TESTED} AND n_words >= {MIN_WORDS_TESTED}"
 
-    def fit(name: str, rows: str, where: str) -> str:
+    def fit(name: str, rows: str, where: str, f: str) -> str:
         return f"""{name} AS (
-  SELECT lang, {means("pc", nc)} AS qc, {means("pw", nw)} AS qw FROM {rows} WHERE {where} AND lang <> '{POOLED}' GROUP BY lang
-  UNION ALL SELECT '{POOLED}', {means("pc", nc)}, NULL FROM {rows} WHERE {where} HAVING count(*) > 0)"""
+  SELECT lang, {bins("pc", nc, f)} AS qc, {bins("pw", nw, f)} AS qw FROM {rows} WHERE {where} AND lang <> '{POOLED}' GROUP BY lang
+  UNION ALL SELECT '{POOLED}', {bins("pc", nc, f)}, NULL FROM {rows} WHERE {where} HAVING count(*) > 0)"""
 
     def far(name: str, refs: str, widen: float) -> str:
         return f"""{name} AS (
@@ -289,7 +291,7 @@ k AS (
          list_transform([unspaced - len(r), n_chars - unspaced + bl, up, po, len(r) - up - po - bl], lambda x: x / greatest(n_chars, 1)) AS pc,
          list_append(hist, greatest(1 - list_sum(hist), 0)) AS pw
   FROM k
-), {fit("q1", "f", enough)}, {far("f1", "q1", FIRST_FIT)}, {fit("q2", "f1", enough + " AND NOT far")}, {far("f2", "q2", 1.0)}
+), {fit("q1", "f", enough, "median")}, {far("f1", "q1", FIRST_FIT)}, {fit("q2", "f1", enough + " AND NOT far", "avg")}, q3 AS (SELECT * FROM q2 UNION ALL SELECT * FROM q1 WHERE lang NOT IN (SELECT lang FROM q2)), {far("f2", "q3", 1.0)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM f2
 """
 

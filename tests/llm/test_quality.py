@@ -1,10 +1,10 @@
+import random
 import re
-from collections import Counter
 
 from pyspark.sql import functions as F
 
 from spanloom.llm import quality
-from tests.llm.data import documents, prose, row, SCHEMA
+from tests.llm.data import SCHEMA, documents, row
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,7 +40,10 @@ def test_verdicts_and_edges(spark):
 
 
 def test_divergence_tells_junk_from_prose(spark):
-    text = [prose(i, 200) for i in range(30)]
+    rng = random.Random(4)
+    syllables = ["ba", "lo", "ti", "ne", "ru", "sha"]
+    word = lambda: rng.choice(quality.COMMON_WORDS["en"]) if rng.random() < 0.4 else "".join(rng.choices(syllables, k=3))
+    text = [". ".join(" ".join([word().capitalize(), *(word() for _ in range(11))]) for _ in range(25)) for _ in range(30)]
     junk = [" ".join(w.upper() + "!!" for w in t.split()) for t in text[:3]] + ["### ".join(t.split()) for t in text[3:6]]
     rows = [row(i, t) for i, t in enumerate(text)] + [row(100 + i, t) for i, t in enumerate(junk)]
     found = {r.doc_id: r for r in quality.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -48,6 +51,12 @@ def test_divergence_tells_junk_from_prose(spark):
     assert not any(found[100 + i].base_failed for i in range(6))
 
 
+def test_references_stand_where_nothing_is_near(spark):
+    rows = [row(i, " ".join([w] * 20 + ["x"] * 20 + [f"y{k}" for k in range(30)])) for i, w in enumerate(["the", "of", "and", "to", "in"])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert quality.references(quality.features(docs).withColumn("n_repeat_words", F.lit(0))) != {}
+
+
 def test_distance_is_jensen_shannon(spark):
     p = F.array(F.lit(0.5), F.lit(0.5), F.lit(0.0))
     q = F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
