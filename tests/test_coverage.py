@@ -44,3 +44,10 @@ def test_contract(spark):
 def test_range_join_is_no_cross_product(spark):
     plan = coverage.QUERIES["join_range"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize(("name", "of"), [("projection", "orders"), ("scalar_math", "lineitem"), ("casts", "orders"), ("join_full", "customer")])
+def test_whole_tables(spark, name, of):
+    larger = "/root/testdata/sf0.01"
+    rows = coverage.QUERIES[name](spark, larger)
+    assert (rows.where("a is not null") if name == "join_full" else rows).count() == coverage.table(spark, larger, of).count()
