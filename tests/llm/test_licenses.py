@@ -30,3 +30,37 @@ def test_table(spark):
     assert licenses.scan(docs.where("false")).count() == 0
     one = licenses.scan(spark.createDataFrame([(1, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")], "doc_id long, text string")).first()
     assert (one.license, one.licenses) == ("Apache-2.0", ["Apache-2.0", "MIT"])
+
+
+ISC = """ISC License
+
+Copyright (c) 2019, Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+BSD_2 = """BSD 2-Clause License
+
+Copyright (c) 2019, Somebody
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+COMPLETE = ["Apache-2.0-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "GPL-2.0-text", "GPL-3.0-text", "ISC-text", "LGPL-2.1-text", "LGPL-3.0-text", "MIT-text", "MPL-2.0-text"]
+
+
+def test_complete_texts():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    best = lambda text: max(scanner.scan(text), key=lambda x: x[1], default=(None, 0))
+    for name, text in (("ISC-text", ISC), ("BSD-2-Clause-text", BSD_2)):
+        found, score = best(text)
+        assert found == name and score > 0.9
+    for name in COMPLETE:
+        assert best(licenses.TEMPLATES[name]) == (name, 1.0) or name == "MPL-2.0-text"  # which ends with its header
+        assert dict(scanner.scan("Copyright (c) 2020 Somebody\n" + licenses.TEMPLATES[name]))[name] > 0.95
