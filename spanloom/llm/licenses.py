@@ -1,7 +1,8 @@
 """Licence scan: passages against licence templates by the Dice coefficient over word bigrams.
 
-A passage is a line, a block of lines between blank ones, or the whole text. It is lower-cased and reduced to its
-words of letters and digits; its bigrams are a set. Dice is twice the shared bigrams over all of both. For a limit t a
+A passage is a line, a block of lines between blank ones, the whole text, or a run of words anywhere in it, of up to
+(2-t)/t times a template's words; a run that is far shorter than a longer template's match around it is a part of that.
+A passage is lower-cased and reduced to its words of letters and digits; its bigrams are a set. Dice is twice the shared bigrams over all of both. For a limit t a
 template of b bigrams can only match a passage of t/(2-t)*b to (2-t)/t*b of them, which prunes nearly all templates
 before any bigram is compared. A match shares at least t/(2-t)*b bigrams, so of each template a few of its words are
 enough to pass over texts that hold none of them.
@@ -17,6 +18,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from importlib.resources import files
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -64,9 +66,12 @@ def passages(text: str) -> set[str]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], limit: float = LIMIT):
-        self.limit = limit
+    """Scores lines, blocks and the whole; with ``runs``, runs of words as well."""
+
+    def __init__(self, templates: dict[str, str], limit: float = LIMIT, runs: bool = False):
+        self.limit, self.runs = limit, runs
         self.templates = [(name, bigrams(text)) for name, text in sorted(templates.items())]
+        self.lengths = {name: len(_WORD.findall(text.lower())) - 1 for name, text in templates.items()}
         self.least = limit / (2 - limit)
         self.anchors = set()
         for _, b in self.templates:
@@ -82,12 +87,55 @@ class Scanner:
         self.low = min((self.least * len(b) for _, b in self.templates), default=0) - 1e-9
         self.high = max((len(b) / self.least for _, b in self.templates), default=0) + 1e-9
 
+    def windows(self, low: str) -> dict[str, float]:
+        """Each template's best score over the runs of words that begin and end with one of its bigrams."""
+        words = _WORD.findall(low)
+        pairs = list(zip(words, words[1:], strict=False))
+        at: dict[tuple[str, str], list[int]] = {}
+        for i, pair in enumerate(pairs):
+            at.setdefault(pair, []).append(i)
+        held = at.keys()
+        best: dict[str, float] = {}
+        before = None
+        taken: list[tuple[int, int]] = []
+        for name, b in sorted(self.templates, key=lambda t: -self.lengths[t[0]]):
+            shared = b & held
+            if not b or len(shared) < self.least * len(b) - 1e-9:
+                continue
+            if before is None:  # where each bigram stood last
+                before = np.full(len(pairs), -1)
+                for places in at.values():
+                    before[places[1:]] = places[:-1]
+            hit = np.zeros(len(pairs), bool)
+            hit[[i for pair in shared for i in at[pair]]] = True
+            reach = math.ceil(self.lengths[name] / self.least)
+            found = []
+            for s in np.flatnonzero(hit):
+                inside = hit[s : s + reach]
+                fresh = before[s : s + reach] < s
+                score = 2 * np.cumsum(fresh & inside) / (np.cumsum(fresh) + len(b))
+                score[~inside] = 0
+                for first, last in taken:  # what a far longer match holds is a part of it
+                    if first <= s <= last:
+                        n = np.arange(1, 1 + min(len(score), last - s + 1))
+                        score[: len(n)][n < self.least * (last - first + 1)] = 0
+                e = len(score) - 1 - int(score[::-1].argmax())
+                if score[e] >= self.limit - 1e-9:
+                    best[name] = max(best.get(name, 0), float(score[e]))
+                    found.append((-float(score[e]), int(s), int(s) + e))
+            own: list[tuple[int, int]] = []
+            for _, first, last in sorted(found):
+                if all(last < f or l < first for f, l in own):
+                    own.append((first, last))
+            taken += own
+        return best
+
     def scan(self, text: str) -> list[tuple[str, float]]:
         """(template, best score) of every template that a passage matches."""
         low = text.lower()
         if not any(a in low for a in self.anchors):
             return []
-        best: dict[str, float] = {}
+        best: dict[str, float] = self.windows(low) if self.runs else {}
         for p in passages(text):
             if len(p) <= self.low:
                 continue
@@ -108,7 +156,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, limit: float
     kinds = dict(templates or TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Scanner(kinds, limit).scan
+        find = Scanner(kinds, limit, runs=True).scan
         for b in batches:
             found = [find(t) for t in b.column(1).to_pylist()]
             top = [min(f, key=lambda x: (-x[1], x[0])) if f else (None, None) for f in found]

@@ -1,3 +1,5 @@
+import random
+
 from spanloom.llm import licenses
 from tests.llm.data import documents, prose
 
@@ -64,3 +66,32 @@ def test_complete_texts():
     for name in COMPLETE:
         assert best(licenses.TEMPLATES[name]) == (name, 1.0) or name == "MPL-2.0-text"  # which ends with its header
         assert dict(scanner.scan("Copyright (c) 2020 Somebody\n" + licenses.TEMPLATES[name]))[name] > 0.95
+
+
+def test_within_longer_text():
+    scanner = licenses.Scanner(licenses.TEMPLATES, runs=True)
+    code = "\n".join(f"def f{i}(x):\n    return x + {i}\n" for i in range(40))
+    for name in [*COMPLETE, "Apache-2.0-header", "GPL-3.0-header", "LGPL-3.0-header", "MPL-2.0-header"]:
+        text = licenses.TEMPLATES[name]
+        assert dict(scanner.scan(prose(1, 300) + "\n\n" + text + code))[name] == 1, name  # several blocks, and code right after
+    for text in (ISC, BSD_2):
+        assert scanner.scan(prose(2, 300) + "\n\n" + text + "\n\n" + code)
+    for name in ("MIT", "CC-BY-4.0", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0"):
+        assert dict(scanner.scan("eight further words stand here before it all " + licenses.TEMPLATES[name] + " and so on"))[name] == 1
+    assert "Apache-2.0" not in dict(scanner.scan("x y\n" + licenses.TEMPLATES["Apache-2.0-header"] + " x"))
+
+
+def test_windows_are_the_best():
+    scanner = licenses.Scanner({"a": "a b c d e f g h", "b": "c d e x"}, runs=True)
+    rng = random.Random(3)
+    for _ in range(300):
+        w = rng.choices("abcdefghx", weights=[1] * 9, k=6) + list("abcdefgh")[: rng.randint(3, 8)] + rng.choices("abcdefghx", k=5)
+        b = dict(scanner.templates)["a"]
+        pairs = list(zip(w, w[1:]))
+        want = max((2 * len(b & set(pairs[i:j])) / (len(b) + len(set(pairs[i:j]))) for i in range(len(pairs)) for j in range(i + 1, min(len(pairs), i + 11) + 1)), default=0)
+        assert abs(dict(scanner.scan(" ".join(w))).get("a", 0) - (want if want >= 0.8 - 1e-9 else 0)) < 1e-9
+
+
+def test_table_finds_what_lies_within(spark):
+    rows = [(1, "some words before " + ISC + "\nand words after, of which there are many\n" + prose(3, 400))]
+    assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).first().license == "ISC-text"
