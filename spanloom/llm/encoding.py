@@ -1,8 +1,9 @@
 """Encoding whole texts with the tokenizers library, remembering the ids of words that recur.
 
 A text is cut at U+0020, which no id spans: the library is asked for words it was not asked for before, many in one
-call, and a bounded table per worker keeps its answers. Whole texts go to the library where a cut could change the
-result (runs of blanks under a tokenizer that keeps them).
+call, and a table per worker, bounded in entries and in bytes, keeps its answers. Words too long to recur are not
+kept. Whole texts go to the library where a cut could change the result (runs of blanks under a tokenizer that keeps
+them).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,24 @@ import pyarrow.compute as pc
 
 #: Entries of a worker's table.
 CACHE_ENTRIES = 1_000_000
+#: Bytes of words and ids that the table holds for each of its entries, on average at most.
+ENTRY_BYTES = 64
+#: Characters of the longest word that is kept.
+KEPT_CHARS = 64
 #: Signs that often end a word.
 ENDS = ".,;:!?"
 #: Words that go to the library in one string.
 JOINED = 1500
-#: Characters from which a text is encoded by itself, and its words of one look into the table.
-LONG, PIECES_AT_ONCE = 2_000_000, 200_000
+#: Bytes of texts that are turned into arrays at once; a longer text is cut into parts of as many characters.
+AT_ONCE = 4_000_000
+
+
+def ends_alone(letter: str) -> bool:
+    """Whether a sign after this letter is a piece of its own, whatever the normaliser does to the letter.
+
+    It has to be one letter still once it is lower case; the scripts above are left to the library.
+    """
+    return letter < "\u0530" and letter.isalpha() and len(low := letter.lower()) == 1 and low.isalpha() and unicodedata.is_normalized("NFC", letter)
 
 
 class Encoder:
@@ -51,7 +65,9 @@ class Encoder:
         suffix = spec["model"].get("end_of_word_suffix")
         self.edge = np.array([n.startswith("\u0120") if self.mode == "keeps" else bool(suffix) and n.endswith(suffix) for n in names])
         self.mark = np.array([bool(self.special) and n == self.special[0] for n in names])
+        self.ends = {c for c in ENDS if not any(c in s for s in self.special)}
         self.words: dict[str, bytes] = {}
+        self.held = 0
         #: Words that begin or end with a blank.
         self.beside: set[str] = set()
         self.heads: dict[str, bytes] = {}
@@ -73,8 +89,8 @@ class Encoder:
         else:
             ask = [w for w in missing if w]
             words[""] = b""
-        # What ends a word after a letter is a piece of its own under both kinds, so stems are asked once.
-        ends = {w: (w[:-1], w[-1]) for w in ask if len(w) > 1 and w[-1] in ENDS and w[-2].isalpha()}
+        # Such a sign is a piece of its own under both kinds, so stems are asked once.
+        ends = {w: (w[:-1], w[-1]) for w in ask if len(w) > 1 and w[-1] in self.ends and ends_alone(w[-2])}
         ask = list({ends[w][0] if w in ends else w for w in ask}.difference(words))
         plain, odd = [], []
         for w in ask:
@@ -113,9 +129,11 @@ class Encoder:
         """ids of a string that has no blank in front."""
         found = self.heads.get(text)
         if found is None:
-            if len(self.heads) > self.cache_entries // 8:
-                self.heads.clear()
-            found = self.heads[text] = self.whole(text)
+            found = self.whole(text)
+            if len(text) <= KEPT_CHARS:
+                if len(self.heads) > self.cache_entries // 8:
+                    self.heads.clear()
+                self.heads[text] = found
         return found
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
@@ -124,27 +142,35 @@ class Encoder:
         if self.mode == "whole":
             return [self.whole(t) for t in texts.to_pylist()]
         size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        if not len(size) or size.max() <= LONG:
-            return self._together(texts, size)
-        out, at = [], 0
-        for long, group in itertools.groupby((size > LONG).tolist()):
-            n = sum(1 for _ in group)
-            part = texts.slice(at, n)
-            out += map(self._long, part.to_pylist()) if long else self._together(part, size[at : at + n])
-            at += n
+        end, out, at = np.cumsum(size), [], 0
+        while at < len(size):
+            upto = max(at + 1, int(np.searchsorted(end, end[at] - size[at] + AT_ONCE, side="right")))
+            part = texts.slice(at, upto - at)
+            out += self._together(part, size[at:upto]) if upto > at + 1 or size[at] <= AT_ONCE else [self._long(part[0].as_py())]
+            at = upto
         return out
 
     def _known(self, words: list[str]) -> list[bytes]:
         """The words' ids, asking the library for those that are not in the table. ``words`` are distinct."""
-        found = list(map(self.words.get, words))
+        table = self.words
+        found = list(map(table.get, words))
         missing = [w for w, x in zip(words, found, strict=True) if x is None]
         if not missing:
             return found
-        if len(self.words) + len(missing) > self.cache_entries:  # the older half goes; what recurs is soon back
-            for w in list(itertools.islice(self.words, self.cache_entries // 2)):
-                del self.words[w]
+        if len(table) + len(missing) > self.cache_entries or self.held > ENTRY_BYTES * self.cache_entries:
+            self.beside.intersection_update(table)  # of this call's words none is gone yet
+            for w in list(itertools.islice(table, self.cache_entries // 2)):  # the older half goes; what recurs is soon back
+                self.held -= 4 * len(w) + len(table.pop(w))
+        before = len(table)
         self._learn(missing)
-        return [self.words[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        out = [table[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        fresh = list(itertools.islice(reversed(table), len(table) - before))
+        for w in fresh:
+            if len(w) > KEPT_CHARS and w not in self.beside:
+                del table[w]
+            else:
+                self.held += 4 * len(w) + len(table[w])
+        return out
 
     def _together(self, texts: pa.Array, chars: np.ndarray) -> list[bytes]:
         """Texts by their distinct words: one look into the table for each, the rest is array work."""
@@ -173,16 +199,20 @@ class Encoder:
 
     def _long(self, text: str) -> bytes:
         """A text too long for arrays of its ids at once."""
-        pieces = text.split(" ")
-        parts = []
-        for i in range(0, len(pieces), PIECES_AT_ONCE):
-            names = list(set(pieces[i : i + PIECES_AT_ONCE]))
+        parts, at = [], 0
+        while at <= len(text):
+            end = text.find(" ", min(len(text), at + AT_ONCE))
+            end = len(text) if end < 0 else end
+            pieces = text[at:end].split(" ")
+            names = list(set(pieces))
             known = dict(zip(names, self._known(names), strict=True))
             if self.beside.intersection(names):
                 return self.whole(text)
-            parts += map(known.__getitem__, pieces[i : i + PIECES_AT_ONCE])
-        if self.mode == "keeps":
-            parts[0] = self._alone(pieces[0])
+            if self.mode == "keeps" and not at:
+                known[""] = self._alone(pieces[0])
+                pieces[0] = ""
+            parts += map(known.__getitem__, pieces)
+            at = end + 1
         return b"".join(parts)
 
 

@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from spanloom.llm import packing, token_counts, token_store
+from spanloom.llm import encoding, packing, token_counts, token_store
 from spanloom.llm.encoding import Encoder
 from tests.llm.data import documents
 
@@ -29,6 +29,42 @@ def test_remembered_words_change_nothing(name, entries):
     assert got == want and [enc._long(t) for t in texts] == want
 
 
+LETTERS = "aZéßİıŞĞÜÇÖΣςÅſǅŉĲﬁﬀ̈́क़གྷẞ가가İͅΐｱﾞДй漢ªµKΩ𐐀Ώ̇"
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_signs_after_any_letter(name):
+    enc, plain = Encoder(str(P.path(name)), 20_000), Tokenizer.from_file(str(P.path(name)))
+    rng = random.Random(11)
+    every = [c for c in map(chr, range(0x21, 0x3000)) if c.isalpha()]
+    texts = [f"{stem}{c}{e} {e}{c}" for c in LETTERS for e in ".,;:!?" for stem in ("", "x", "KAYSER")]
+    texts += [" ".join("".join(rng.choices([*LETTERS, *every, "'s", "'LL", ".", ",", "1", "-"], k=rng.randint(1, 5))) + rng.choice([*".,;:!?", "..", ""]) for _ in range(rng.randint(1, 8))) for _ in range(20_000)]
+    texts += ["ŞEHRİ, ANKARA", "KAYSERİ. foo", "İ. x", "don't. we'll, I'd;"]
+    want = [np.array(x.ids, "<u2").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    got = [raw for i in range(0, len(texts), 1000) for raw in enc.encode(texts[i : i + 1000])]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_the_table_is_bounded_in_bytes(name):
+    enc, rng = Encoder(str(P.path(name)), 2000), random.Random(3)
+    held = lambda: sum(4 * len(w) + len(x) for w, x in enc.words.items())
+    for n in (4000, 60, 500):  # texts without a blank, short ones and long ones
+        texts = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n)) for _ in range(300)]
+        enc.encode(texts)
+        assert held() == enc.held <= 64 * 2000 + 300 * 4 * 64 * 3 and all(len(w) <= 64 for w in enc.words) and all(len(w) <= 64 for w in enc.heads)
+    enc.encode([" ".join(f"{rng.getrandbits(64):x}" for _ in range(50)) for _ in range(400)])
+    assert held() == enc.held
+
+
+def test_long_texts_are_cut_into_parts(monkeypatch):
+    monkeypatch.setattr(encoding, "AT_ONCE", 50)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc, plain = Encoder(str(P.path(name))), Tokenizer.from_file(str(P.path(name)))
+        texts = [" ".join(f"w{i % 7} thing{i}, {'x' * (i % 90)}y" for i in range(n)) for n in (0, 1, 5, 100)] + ["a  b " * 60, "漢" * 400, " lead " + "word. " * 40]
+        assert enc.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
 def test_counts_agree_with_the_library():
     sp = sentencepiece.SentencePieceProcessor(model_file=str(P.path("piece_bpe_32k.model")))
     counter = token_counts.PieceCounter(str(P.path("piece_bpe_32k.model")), cache_entries=500)
