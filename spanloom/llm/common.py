@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these six blanks.
@@ -53,6 +53,20 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def running(rows: DataFrame, order: str, value: Column, name: str, tag: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before in the order of a column, nulls last.
+
+    Rows are dealt by ranges; sums run within each, and only one row a range meets the others'.
+    """
+    dealt = rows.withColumn("__value", value).repartitionByRange(F.col(order).asc_nulls_last())
+    dealt = materialize(dealt.withColumn("__range", F.spark_partition_id()), tag)
+    inside = Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("__range").agg(F.sum("__value").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    total = F.coalesce(F.sum("__value").over(inside), F.lit(0)) + F.col("__before")
+    return dealt.join(F.broadcast(ranges.drop("__sum")), "__range").withColumn(name, total).drop("__range", "__value", "__before")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATORS), lambda w: w != "")

@@ -2,19 +2,24 @@
 
 Shard file: the magic, the ids of its documents one after the other (little-endian unsigned, 2 or 4 bytes), then the
 places at which documents begin and end (u64 each, in ids), then a footer (documents, ids, width, magic). Documents
-stand in ascending key order, within a shard and from shard to shard.
+stand in ascending key order, within a shard and from shard to shard. A task writes the shards of a range of keys; a
+shard ends at a number of documents or bytes.
 
 Index file: keys are dealt by hash into files of a bounded number of keys. A key's slot comes from a cascade of bit
 arrays: at each level a key that is alone on its bit owns it, the others go on to the next level, so the rank of the
-bit is a minimal perfect hash. A slot holds the key's 32-bit fingerprint and its place (shard, ordinal, rows). A
-lookup reads one slot; a key that was never indexed fails the fingerprint, but for a chance of 2**-32.
+bit is a minimal perfect hash. Bits stand in blocks of 64 bytes, each headed by the rank of its first bit. A slot holds
+the key's 32-bit fingerprint and its place (shard, ordinal, rows). ``TokenStore.get`` reads the index file's head, one
+block a level it meets (1.6 on average), one slot and two bounds by position, whatever the size of the store; a key
+that was never indexed fails the fingerprint, but for a chance of 2**-32. ``read`` is for many keys: it takes whole
+index files, then runs of neighbouring documents of a shard in one read each.
 
 Files are written by the tasks under names of their own and moved into place when whole, with the same bytes on a
 second attempt, so a lost executor costs only its tasks. All of them lie in the shared folder.
 
-Defined cases: a null text has the end id alone; null keys come first, are one key and bypass the index; equal keys
-stand together in order of their texts, and the index has the first with their number; an empty table makes no files
-and gives no rows; further columns are ignored.
+Defined cases: a null text has the end id alone; null keys come first and are one key, which bypasses the index; equal
+keys stand together in order of their texts' hashes, over several shards where they are many: the index has the first
+place and the places in further shards stand in a table of their own; an empty table makes no files and gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,22 +31,32 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize, new_dir, table
+from spanloom.llm.common import materialize, new_dir, running, table
 from spanloom.llm.encoding import encoder, public_path
 from spanloom.llm.files import into_place, open_uri
 
 MAGIC = b"SLTOKEN1"
-INDEX_MAGIC = b"SLINDEX1"
+INDEX_MAGIC = b"SLINDEX2"
 FOOTER = "<QQQ8s"
 FOOTER_SIZE = struct.calcsize(FOOTER)
-#: Documents of a shard and keys of an index file, about.
-SHARD_DOCS = 8192
+#: Documents and bytes at which a shard ends, and keys of an index file, about.
+SHARD_DOCS, SHARD_BYTES = 65_536, 64 << 20
 INDEX_KEYS = 65_536
 DOCS_AT_ONCE = 1024
+#: Bytes of texts of a task at most, about; small inputs are dealt to LEAST_TASKS if that gives them TASK_LEAST each.
+TASK_BYTES, TASK_LEAST, LEAST_TASKS = 128 << 20, 4 << 20, 48
+#: A task's number times this, plus the shard's number in the task, is the shard.
+SHARDS_OF_TASK = 1 << 20
+#: Bytes of ids that one read fetches at most, and bytes between documents that it may fetch in vain.
+READ_BYTES, READ_GAP = 8 << 20, 64 << 10
+#: Bytes of a block of an index file's bits, of which the first eight are a rank.
+BLOCK = 64
+BLOCK_BITS = 8 * (BLOCK - 8)
 #: Bits a key at each level, and levels after which the keys left are listed one by one.
 GAMMA, LEVELS = 2.0, 40
 
@@ -97,16 +112,24 @@ class PerfectHash:
         return out
 
     def to_bytes(self) -> bytes:
+        """The head (levels, keys beside the bits, sizes), the blocks, the keys beside the bits."""
         head = struct.pack(f"<QQ{len(self.sizes)}Q", len(self.sizes), len(self.rest), *self.sizes)
-        return head + np.packbits(self.bits).tobytes() + self.rest.astype("<u8").tobytes()
+        n = -(-len(self.bits) // BLOCK_BITS)
+        bits = np.zeros(n * BLOCK_BITS, np.uint8)
+        bits[: len(self.bits)] = self.bits
+        ranks = np.concatenate([[0], np.cumsum(bits.reshape(n, BLOCK_BITS).sum(axis=1, dtype=np.int64))[:-1]]) if n else np.zeros(0)
+        blocks = np.concatenate([ranks.astype("<u8").view(np.uint8).reshape(n, 8), np.packbits(bits, bitorder="little").reshape(n, BLOCK - 8)], axis=1)
+        return head + blocks.tobytes() + self.rest.astype("<u8").tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> tuple[PerfectHash, int]:
         levels, rest = struct.unpack_from("<QQ", raw)
         sizes = list(struct.unpack_from(f"<{levels}Q", raw, 16))
         at, total = 16 + 8 * levels, sum(sizes)
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8, total // 8, at)) if total else np.zeros(0, np.uint8)
-        at += total // 8
+        n = -(-total // BLOCK_BITS)
+        blocks = np.frombuffer(raw, np.uint8, n * BLOCK, at).reshape(n, BLOCK)
+        bits = np.unpackbits(np.ascontiguousarray(blocks[:, 8:]).reshape(-1), bitorder="little")[:total]
+        at += n * BLOCK
         return cls(sizes, bits, np.frombuffer(raw, "<u8", rest, at)), at + 8 * rest
 
 
@@ -114,7 +137,7 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys.astype(np.uint64), 1000) >> np.uint64(32)).astype(np.uint32)
 
 
-PLACE = np.dtype([("print", "<u4"), ("shard", "<u4"), ("ordinal", "<u4"), ("rows", "<u4")])
+PLACE = np.dtype([("print", "<u4"), ("ordinal", "<u4"), ("shard", "<u8"), ("rows", "<u8")])
 
 
 def index_bytes(keys: np.ndarray, shard: np.ndarray, ordinal: np.ndarray, rows: np.ndarray) -> bytes:
@@ -143,39 +166,123 @@ class Index:
         return place, (at >= 0) & (place["print"] == fingerprints(keys))
 
 
+class OpenIndex:
+    """An index file that is read by position, a key at a time."""
+
+    def __init__(self, file):
+        self.file = file
+        magic, levels, self.rest = struct.unpack("<8sQQ", file.read_at(24, 0))
+        if magic != INDEX_MAGIC:
+            raise ValueError("not an index file")
+        self.sizes = struct.unpack(f"<{levels}Q", file.read_at(8 * levels, 24))
+        self.blocks = 24 + 8 * levels
+        self.rest_at = self.blocks + -(-sum(self.sizes) // BLOCK_BITS) * BLOCK
+        self.slots_at = self.rest_at + 8 * self.rest
+
+    def slot(self, key: int) -> int:
+        one, base = np.array([key], np.uint64), 0
+        for level, size in enumerate(self.sizes):
+            at = base + int(_mix(one, level)[0] % np.uint64(size))
+            block = self.file.read_at(BLOCK, self.blocks + at // BLOCK_BITS * BLOCK)
+            bits, k = int.from_bytes(block[8:], "little"), at % BLOCK_BITS
+            if bits >> k & 1:
+                return int.from_bytes(block[:8], "little") + (bits & (1 << k) - 1).bit_count()
+            base += size
+        rest = np.frombuffer(self.file.read_at(8 * self.rest, self.rest_at), "<u8")  # hardly ever any
+        found = np.flatnonzero(rest == np.uint64(key))
+        placed = (self.file.size() - self.slots_at) // PLACE.itemsize - self.rest
+        return placed + int(found[0]) if len(found) else -1
+
+    def find(self, key: int) -> tuple[int, int, int] | None:
+        """(shard, ordinal, rows) of a key's first place; None if it isn't there."""
+        slot = self.slot(key)
+        if slot < 0:
+            return None
+        place = np.frombuffer(self.file.read_at(PLACE.itemsize, self.slots_at + slot * PLACE.itemsize), PLACE)[0]
+        same = place["print"] == fingerprints(np.array([key], np.uint64))[0]
+        return (int(place["shard"]), int(place["ordinal"]), int(place["rows"])) if same else None
+
+
 def shard_name(shard: int) -> str:
-    return f"shard-{shard:07d}.bin"
+    return f"shard-{shard:016d}.bin"
 
 
 def index_name(bucket: int) -> str:
     return f"index-{bucket:07d}.mph"
 
 
+def key_hash(key: int) -> tuple[int, int]:
+    """(hash, hash for the index file) of a key, as Spark's ``xxhash64`` of the key, and of the key and "bucket"."""
+    h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+    return h, xxhash.xxh64_intdigest(b"bucket", h)
+
+
 class Shard:
-    """Reads one shard file."""
+    """Reads one shard file, by position."""
 
     def __init__(self, folder: str, shard: int):
         files, path = open_uri(folder)
         self.file = files.open_input_file(f"{path}/{shard_name(shard)}")
         size = self.file.size()
-        docs, ids, self.width, magic = struct.unpack(FOOTER, self.file.read_at(FOOTER_SIZE, size - FOOTER_SIZE))
+        self.docs, ids, self.width, magic = struct.unpack(FOOTER, self.file.read_at(FOOTER_SIZE, size - FOOTER_SIZE))
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        self.bounds = np.frombuffer(self.file.read_at(8 * (docs + 1), size - FOOTER_SIZE - 8 * (docs + 1)), "<u8").astype(np.int64)
+        self.bounds_at = size - FOOTER_SIZE - 8 * (self.docs + 1)
 
-    def ids(self, ordinal: int) -> np.ndarray:
-        a, b = int(self.bounds[ordinal]), int(self.bounds[ordinal + 1])
-        return np.frombuffer(self.file.read_at((b - a) * self.width, len(MAGIC) + a * self.width), f"<u{self.width}")
+    def bounds(self, first: int, rows: int) -> np.ndarray:
+        """Where the documents from ``first`` on begin, and where the last of them ends."""
+        return np.frombuffer(self.file.read_at(8 * (rows + 1), self.bounds_at + 8 * first), "<u8").astype(np.int64)
+
+    def ids(self, begin: int, end: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at((end - begin) * self.width, len(MAGIC) + begin * self.width), f"<u{self.width}")
+
+    def documents(self, ordinals: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(ordinal, begin, ids) of documents in ascending order; neighbours come with one read."""
+        if not len(ordinals):
+            return
+        low = int(ordinals[0])
+        bounds = self.bounds(low, int(ordinals[-1]) - low + 1)
+        begin, end = bounds[ordinals - low], bounds[ordinals - low + 1]
+        at = 0
+        while at < len(ordinals):
+            apart = np.flatnonzero((begin[at + 1 :] - end[at:-1]) * self.width > READ_GAP)
+            upto = at + 1 + int(apart[0]) if len(apart) else len(ordinals)
+            upto = max(at + 1, min(upto, int(np.searchsorted(end, begin[at] + READ_BYTES // self.width, side="right"))))
+            raw = self.ids(int(begin[at]), int(end[upto - 1]))
+            for k in range(at, upto):
+                yield int(ordinals[k]), int(begin[k]), raw[begin[k] - begin[at] : end[k] - begin[at]]
+            at = upto
 
     def close(self) -> None:
         self.file.close()
 
 
 class TokenStore:
-    """A written store: folder, number of index files, and (shard, first_id, docs) of every shard as a DataFrame."""
-
-    def __init__(self, spark: SparkSession, folder: str, buckets: int, shards: DataFrame, nulls: DataFrame):
-        self.spark, self.folder, self.buckets, self.shards, self.nulls = spark, folder, buckets, shards, nulls
+    """A written store: folder, number of index files, (shard, docs, first_id) of every shard, and the places that are
+    not in the index (null keys, and what equal keys have in further shards) as (doc_id, shard, ordinal, rows)."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int, shards: DataFrame, beside: DataFrame):
+        self.spark, self.folder, self.buckets, self.shards, self.beside = spark, folder, buckets, shards, beside
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the first document under a key, by a few reads of fixed size; None if there is none."""
+        h, b = key_hash(key)
+        signed = b - (1 << 64) if b >> 63 else b
+        files, path = open_uri(self.folder)
+        try:
+            file = files.open_input_file(f"{path}/{index_name(signed % self.buckets)}")
+        except FileNotFoundError:
+            return None
+        with file as f:
+            place = OpenIndex(f).find(h)
+        if place is None:
+            return None
+        shard = Shard(self.folder, place[0])
+        try:
+            begin, end = shard.bounds(place[1], 1)
+            return shard.ids(int(begin), int(end))
+        finally:
+            shard.close()
 
     def read(self, keys: DataFrame, key_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
         """(doc_id, start, n_tokens, ids_crc32, ids) of every row stored under the keys, through the index; ids only if
@@ -199,34 +306,33 @@ class TokenStore:
                     yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(place[c].astype(np.int64)) for c in ("shard", "ordinal", "rows"))], names=["doc_id", "shard", "ordinal", "rows"])
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, source = None, None
             for b in batches:
-                out = []
-                for key, at, ordinal, rows, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if at != shard:
-                        if source:
-                            source.close()
-                        shard, source = at, Shard(folder, at)
-                    for k in range(ordinal, ordinal + rows):
-                        ids = source.ids(k)
+                key, shard, ordinal, rows, first = (b.column(i).fill_null(0).to_numpy() for i in range(5))
+                missing = b.column(0).is_null().to_numpy(zero_copy_only=False)
+                for part in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                    if not len(part):
+                        continue
+                    source, out = Shard(folder, int(shard[part[0]])), []
+                    owner = np.repeat(part, rows[part])
+                    ordinals = np.repeat(ordinal[part] - (np.cumsum(rows[part]) - rows[part]), rows[part]) + np.arange(len(owner))
+                    for at, (_, begin, ids) in zip(owner.tolist(), source.documents(ordinals), strict=True):
                         wide = ids.astype("<u4")
-                        row = (key, first + int(source.bounds[k]), len(ids), zlib.crc32(wide))
+                        row = (None if missing[at] else int(key[at]), int(first[at]) + begin, len(ids), zlib.crc32(wide))
                         out.append((*row, wide.tobytes()) if with_ids else row)
                         if len(out) >= 4096:
                             yield _batch(out)
                             out = []
-                if out:
-                    yield _batch(out)
-            if source:
-                source.close()
+                    if out:
+                        yield _batch(out)
+                    source.close()
 
         key = F.col(key_col).cast("long")
         asked = keys.select(key.alias("doc_id")).groupBy("doc_id").agg(F.lit(1).alias("one"))
         hashed = asked.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(self.buckets)).cast("int").alias("bucket"), "doc_id", F.xxhash64("doc_id").alias("h"))
         dealt = hashed.repartition("bucket").sortWithinPartitions("bucket")
         places = dealt.mapInArrow(locate, "doc_id long, shard long, ordinal long, rows long")
-        null_asked = asked.where("doc_id is null").select("one")
-        places = places.unionByName(self.nulls.join(null_asked, F.lit(True), "left_semi").select(F.lit(None).cast("long").alias("doc_id"), "shard", "ordinal", "rows"))
+        wanted = asked.select(F.col("doc_id").alias("k"))
+        places = places.unionByName(self.beside.join(wanted, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi"))
         known = places.join(self.shards.select("shard", "first_id"), "shard").select("doc_id", "shard", "ordinal", "rows", "first_id")
         in_order = known.repartition("shard").sortWithinPartitions("shard", "ordinal")
         return in_order.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
@@ -239,7 +345,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
 
 
-def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> TokenStore:
+def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> TokenStore:
     """Encodes every text, appends ``end_id``, writes shards and index under ``folder`` (of the shared folder)."""
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "tokens")
@@ -247,44 +353,57 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path or public_path("word_bpe_49k.json"))
         end = np.array([end_id], enc.dtype).tobytes()
-        shard = TaskContext.get().partitionId()
-        keys: list = []
-        bounds = [0]
-        first = next((b for b in batches if len(b)), None)
-        if first is None:
-            return
-
-        def body(out) -> None:
-            out.write(MAGIC)
-            b = first
-            while b is not None:
-                for at in range(0, len(b), DOCS_AT_ONCE):
-                    keys.extend(b.column(0).slice(at, DOCS_AT_ONCE).to_pylist())
-                    raws = enc.encode(b.column(1).slice(at, DOCS_AT_ONCE))
-                    for raw in raws:
-                        bounds.append(bounds[-1] + len(raw) // enc.width + 1)
-                    out.write(end.join([*raws, b""]))
-                b = next(batches, None)
-            out.write(np.array(bounds, "<u8").tobytes())
-            out.write(struct.pack(FOOTER, len(keys), bounds[-1], enc.width, MAGIC))
-
-        into_place(folder, shard_name(shard), body)
-        n = len(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(n, shard)), pa.array(np.arange(n)), pa.array(np.diff(bounds))], names=["doc_id", "shard", "ordinal", "n_tokens"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        shard = TaskContext.get().partitionId() * SHARDS_OF_TASK
+        pieces = ((b.column(0).slice(at, DOCS_AT_ONCE).to_pylist(), b.column(1).slice(at, DOCS_AT_ONCE)) for b in batches for at in range(0, len(b), DOCS_AT_ONCE))
+        encoded = ((key, raw) for keys, texts in pieces for key, raw in zip(keys, enc.encode(texts), strict=True))
+        doc = next(encoded, None)
+        while doc is not None:
+            keys: list = []
+            bounds = [0]
+
+            def body(out) -> None:
+                nonlocal doc
+                out.write(MAGIC)
+                held = []
+                while doc is not None and len(keys) < shard_docs and bounds[-1] * enc.width < shard_bytes:
+                    keys.append(doc[0])
+                    held += [doc[1], end]
+                    bounds.append(bounds[-1] + len(doc[1]) // enc.width + 1)
+                    if len(held) >= 2 * DOCS_AT_ONCE or len(doc[1]) > READ_BYTES:
+                        out.write(b"".join(held))
+                        held = []
+                    doc = next(encoded, None)
+                out.write(b"".join(held))
+                out.write(np.array(bounds, "<u8").tobytes())
+                out.write(struct.pack(FOOTER, len(keys), bounds[-1], enc.width, MAGIC))
+
+            into_place(folder, shard_name(shard), body)
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(n, shard)), pa.array(np.arange(n)), pa.array(np.diff(bounds))], names=["doc_id", "shard", "ordinal", "n_tokens"])
+            shard += 1
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # The last two part rows of one key, however many they are; equal texts are told apart only to be dealt.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("one")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("one"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 60:  # the planner doesn't know
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long") + 16)).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES), min(LEAST_TASKS, -(-size // TASK_LEAST)))
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "text")
     entries = materialize(dealt.mapInArrow(encode, "doc_id long, shard long, ordinal long, n_tokens long"), "token-entries")
 
     # One row a shard: its first id is the number of ids in the shards before it.
     totals = entries.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    table_of_shards = materialize(totals.select("shard", "docs", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_id")), "token-shards")
+    shards = materialize(running(totals, "shard", F.col("n"), "first_id", "token-totals").select("shard", "docs", "first_id"), "token-shards")
 
-    places = entries.groupBy("doc_id").agg(F.min(F.struct("shard", "ordinal")).alias("at"), F.count("*").alias("rows")).select("doc_id", "at.shard", "at.ordinal", "rows")
-    buckets = max(1, -(-places.count() // INDEX_KEYS))
-    keyed = places.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).cast("int").alias("bucket"), F.xxhash64("doc_id").alias("h"), "shard", "ordinal", "rows")
+    spans = entries.groupBy("doc_id", "shard").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("rows"))
+    first = spans.groupBy("doc_id").agg(F.min(F.struct("shard", "ordinal", "rows")).alias("at"), F.array_sort(F.collect_list(F.struct("shard", "ordinal", "rows"))).alias("every"))
+    places = materialize(first.select("doc_id", "at", F.when(F.col("doc_id").isNull(), F.col("every")).otherwise(F.expr("slice(every, 2, size(every))")).alias("more")), "token-places")
+    beside = places.where(F.size("more") > 0).select("doc_id", F.explode("more").alias("m")).select("doc_id", "m.shard", "m.ordinal", "m.rows")
+    indexed = places.where("doc_id is not null")
+    buckets = max(1, -(-indexed.count() // INDEX_KEYS))
+    keyed = indexed.select(F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).cast("int").alias("bucket"), F.xxhash64("doc_id").alias("h"), "at.shard", "at.ordinal", "at.rows")
 
     def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         raw = index_bytes(pdf["h"].to_numpy(np.int64).view(np.uint64), *(pdf[c].to_numpy(np.int64) for c in ("shard", "ordinal", "rows")))
@@ -292,7 +411,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
         return pd.DataFrame({"bucket": [key[0]], "n_bytes": [len(raw)]})
 
     materialize(keyed.groupBy("bucket").applyInPandas(index, "bucket int, n_bytes long"), "token-index")
-    return TokenStore(spark, folder, buckets, table_of_shards, places.where("doc_id is null"))
+    return TokenStore(spark, folder, buckets, shards, beside)
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

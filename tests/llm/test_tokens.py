@@ -3,8 +3,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from tokenizers import Tokenizer
 
 from spanloom.llm import encoding, packing, token_counts, token_store
@@ -86,6 +88,8 @@ def test_perfect_hash():
         assert sorted(mph.slots(keys).tolist()) == list(range(n))
         index = token_store.Index(token_store.index_bytes(keys, keys % 7, keys % 11, keys % 3))
         place, there = index.find(keys)
+        opened = token_store.OpenIndex(pa.BufferReader(token_store.index_bytes(keys, keys % 7, keys % 11, keys % 3)))
+        assert all(opened.find(int(k)) == (k % 7, k % 11, k % 3) and opened.find(int(k) + 1) is None for k in keys[:200])
         assert there.all() and (place["ordinal"] == keys % 11).all() and not index.find(keys + np.uint64(1))[1].any()
 
 
@@ -93,19 +97,47 @@ def test_store_gives_back_every_row(spark):
     docs = documents(spark)
     t = Tokenizer.from_file(str(P.path("word_bpe_49k.json")))
     store = token_store.write(docs, shard_docs=7)
+    assert all(store.get(k) is None for k in (999, -5, 1 << 62)) and store.shards.count() > 1
     rows = sorted((r for r in store.read(docs).collect()), key=lambda r: r.start)
-    order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    key = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, signed(key(x[1]))))
     at = 0
     assert len(rows) == len(order)
     for r, (doc_id, text) in zip(rows, order, strict=True):
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.ids) == (doc_id, at, len(ids), zlib.crc32(ids), ids.tobytes())
         at += len(ids)
+        if doc_id is not None and (doc_id < 300 or text == next(x for i, x in order if i == 300)):
+            assert (store.get(doc_id) == ids).all()
     assert store.read(spark.createDataFrame([(999,), (103,)], "doc_id long")).count() == 1
     empty = docs.where("false")
     assert token_store.write(empty).read(docs).count() == 0
 
 
+def test_equal_keys_over_several_shards(spark):
+    docs = spark.createDataFrame([(k, f"text {i % 5}") for k in (None, 1, 2) for i in range(40)] + [(9, "x")], "doc_id long, text string")
+    store = token_store.write(docs, shard_docs=6)
+    assert store.beside.where("doc_id = 2").count() > 1
+    rows = sorted(store.read(docs).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 40 + [1] * 40 + [2] * 40 + [9]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:], strict=False)) and rows[0].start == 0
+    assert store.read(docs.where("doc_id = 2")).count() == 40 and store.read(docs.where("doc_id is null")).count() == 40
+
+
+def test_neighbours_come_with_one_read(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('word ', id) as text").coalesce(1)
+    monkeypatch.setattr(token_store, "LEAST_TASKS", 1)
+    store = token_store.write(docs)
+    shard = token_store.Shard(store.folder, 0)
+    reads = []
+    monkeypatch.setattr(shard, "ids", lambda a, b: reads.append((a, b)) or token_store.Shard.ids(shard, a, b))
+    found = list(shard.documents(np.array([0, 1, 2, 50, 299])))
+    assert len(reads) == 1 and [k for k, *_ in found] == [0, 1, 2, 50, 299] and all((ids == store.get(k)).all() for k, _, ids in found)
+    monkeypatch.setattr(token_store, "READ_GAP", 0)
+    assert len(list(shard.documents(np.array([0, 1, 2, 50, 299])))) == 5 and len(reads) == 4
+
+
 def checked_pieces(rows, docs):
     """Every id of every document in exactly one piece, sequences gapless and within capacity; the padded share."""
     t = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
