@@ -53,6 +53,23 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Intermediates that go once the result that they serve is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        out, path = written(df, tag)
+        self.paths.append(path)
+        return out
+
+    def delete(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths.clear()
+
+
 def running(rows: DataFrame, order: str, value: Column, name: str, tag: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows before in the order of a column, nulls last.
 

@@ -7,19 +7,25 @@ register with the probability of their weighted Jaccard similarity, without bias
 generated; it is set so that every register is nearly surely hit, and doubled for a text where one was not, so the
 result is exact and the work is about m log m points plus one draw a shingle, however long the text.
 
-Candidates. Registers are banded; texts that agree in a band are joined to the least text of their bucket, and the
-components of these edges are the groups in which links are looked for. No pair is emitted.
-
-Verification. Within a group every text's exact multiset overlap is compared with the texts not yet reached, walking
-from linked text to linked text, so a class is a component of all links of at least the threshold. Groups beyond a
-bounded number of shingles are dealt into chunks and each pair of chunks is one task; the links of all tasks are
-joined again, so none is lost.
+Candidates. Registers are banded; texts that agree in a band share a bucket, whose least text leads it. No pair is
+emitted but every member with its leader.
+
+Verification, in two steps, each by the exact multiset overlap of whole texts (shingles as 64-bit hashes).
+Step one: pairs of member and leader that differ in size by more than the threshold allows, or in more registers than
+chance ever would, are dropped before any text moves; a leader then meets its members in tasks of a bounded number of
+shingles, the leader's text going to each. A group of copies of any size is linked to its leader by work in proportion.
+Step two: what the links of step one join is known. In a bucket whose other members still are of several components,
+those outside its largest component meet all its members, again in tasks of bounded size; texts that are joined
+already aren't compared. Every pair that shares a bucket has then been compared or is joined, so no link is lost.
+Step two costs, for a bucket, its members times its members outside the largest component: nothing where copies agree
+with their leader, and only in compared hashes, never in rows that go to one task, where they don't.
 
 Equal texts are one node throughout (by 128-bit digest), so copies cost a row each and nothing more.
 
 Defined cases: a text that is null or has no word is alone in its class; one of fewer than five words is a single
 shingle; a class is named by the least doc_id in it (null only if all are null); rows that repeat an id are judged by
-their texts; an empty table gives no rows; further columns are ignored (``classes``) or kept (``deduplicated``).
+their texts; an empty table gives no rows; further columns of any name are ignored (``classes``) or kept
+(``deduplicated``).
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize, n_words, table
+from spanloom.llm.common import Scratch, materialize, n_words, table
 from spanloom.llm.components import components
 
 WORDS = 5
@@ -44,8 +50,12 @@ BANDS, ROWS = 25, 5
 SLACK = 2.5
 #: Characters of text that are turned into arrays at once.
 TEXT_AT_ONCE = 1_000_000
-#: Shingles of a chunk, about; a task holds two chunks at most.
-CHUNK_SHINGLES = 1_000_000
+#: Shingles of the members that meet a leader in one task, about, and as multiples of the leader's own at least.
+STAR_SHINGLES, STAR_LEADERS = 16_384, 16
+#: Shingles of a chunk in step two, about; a task holds two chunks at most.
+CHUNK_SHINGLES = 100_000
+#: Registers in which a pair at the threshold agrees, less six standard deviations: fewer and it is no link.
+AGREEING = math.floor(BANDS * ROWS * THRESHOLD - 6 * math.sqrt(BANDS * ROWS * THRESHOLD * (1 - THRESHOLD)))
 
 #: A broadcast bitmap of texts: 4 MB at most.
 BITMAPS, BITMAP_BITS = 1024, 32768
@@ -166,10 +176,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in _slices(b.column(2)):
             part = b.slice(start, end - start)
             text, h, w = shingles(part.column(2))
-            keys = band_keys(bag_minhash(text, h, w, len(part), BANDS * ROWS), BANDS, ROWS)
+            sig = bag_minhash(text, h, w, len(part), BANDS * ROWS)
+            keys = band_keys(sig, BANDS, ROWS)
+            prints = np.ascontiguousarray((mixed64(sig.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8))
+            prints = pa.array([row.tobytes() for row in prints], pa.binary())
             n = np.bincount(text, weights=w, minlength=len(part)).astype(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), bands], names=["doc_id", "digest", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), bands, prints], names=["doc_id", "digest", "n", "bands", "prints"])
         pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
@@ -184,64 +197,82 @@ class Texts:
             _, self.element = np.unique(mixed64(h[each] + copy * _A), return_inverse=True)
         self.size = np.bincount(text[each], minlength=len(texts))
         self.start = np.cumsum(self.size) - self.size
-        self.mark = np.zeros(int(self.element.max(initial=-1)) + 1, np.bool_)
-
-    def of(self, i: int) -> np.ndarray:
-        return self.element[self.start[i] : self.start[i] + self.size[i]]
-
-    def classes(self, threshold: float) -> np.ndarray:
-        """Each text's root: the first text of its component under links of at least the threshold."""
-        n = len(self.size)
-        root = np.arange(n)
-        left = np.flatnonzero(self.size > 0)
-        held, flat, begins = left, self.element, self.start[left]
-        gone = np.zeros(n, bool)
-        for first in left.tolist():
-            if gone[first]:
+        # Where each element occurs: the texts that hold it.
+        order = np.argsort(self.element, kind="stable")
+        self.holder = text[each][order]
+        self.often = np.bincount(self.element)
+        self.begin = np.cumsum(self.often) - self.often
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many elements every text has in common with one of them."""
+        own = self.element[self.start[i] : self.start[i] + self.size[i]]
+        often = self.often[own]
+        at = np.repeat(self.begin[own] - (np.cumsum(often) - often), often) + np.arange(often.sum())
+        return np.bincount(self.holder[at], minlength=len(self.size))
+
+    def links(self, pivots: np.ndarray, label: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """Pairs of texts that join what the labels tell apart, by overlaps of at least the threshold with the pivots.
+
+        Texts that a pivot is already joined to aren't looked at, and one link stands for all between two labels.
+        """
+        label, out = label.copy(), []
+        for i in pivots.tolist():
+            apart = label != label[i]
+            if not self.size[i] or not apart.any():
                 continue
-            gone[first] = True
-            queue = [first]
-            while queue:
-                x = queue.pop()
-                if len(held) > 32 and gone[held].mean() > 0.5:  # drop what was reached from the arrays
-                    held = held[~gone[held]]
-                    flat = np.concatenate([self.of(i) for i in held]) if len(held) else flat[:0]
-                    begins = np.cumsum(self.size[held]) - self.size[held]
-                if not len(held):
-                    break
-                own = self.of(x)
-                self.mark[own] = True
-                shared = np.add.reduceat(self.mark[flat], begins, dtype=np.int64)
-                self.mark[own] = False
-                near = shared >= threshold * (self.size[held] + self.size[x] - shared) - 1e-9
-                for y in held[near & ~gone[held]].tolist():
-                    gone[y] = True
-                    root[y] = first
-                    queue.append(y)
-        return root
+            shared = self.shared(i)
+            near = apart & (shared >= threshold * (self.size + self.size[i] - shared) - 1e-9) & (self.size > 0)
+            for j in np.flatnonzero(near).tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+        return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (blob, i, j, node, text) in this order -> (node, root) of every node linked to another in its task."""
-    key, nodes, texts = None, [], []
-
-    def links() -> Iterator[pa.RecordBatch]:
-        if len(nodes) > 1:
-            root = Texts(texts).classes(THRESHOLD)
-            at = np.flatnonzero(root != np.arange(len(root)))
-            if len(at):
-                ids = np.array(nodes, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]])], names=["a", "b"])
+    """Rows (key, i, j, node, pivot, comp, text), ordered by the first four -> (a, b) links found by the tasks."""
+    task: tuple | None = None
+    nodes: list[int] = []
+    pivots: list[int] = []
+    comps: list[int] = []
+    texts: list[str] = []
+    found: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if len(nodes) > 1 and pivots:
+            label = np.unique(np.array(comps, np.int64), return_inverse=True)[1]
+            found.extend((nodes[i], nodes[j]) for i, j in Texts(texts).links(np.array(pivots), label, THRESHOLD))
+        for held in (nodes, pivots, comps, texts):
+            held.clear()
+
+    def batch() -> pa.RecordBatch:
+        b = pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        found.clear()
+        return b
 
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:3] != key:
-                yield from links()
-                key, nodes, texts = row[:3], [], []
-            if not nodes or nodes[-1] != row[3]:  # rows that repeat id and text are one node
-                nodes.append(row[3])
-                texts.append(row[4])
-    yield from links()
+        for key, i, j, node, pivot, comp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (key, i, j) != task:
+                close()
+                task = key, i, j
+            if nodes and nodes[-1] == node:  # rows that repeat id and text are one node
+                continue
+            if pivot:
+                pivots.append(len(nodes))
+            nodes.append(node), comps.append(comp), texts.append(text)
+        if len(found) > 4096:
+            yield batch()
+    close()
+    if found:
+        yield batch()
+
+
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, prints, prints): the pairs that agree in enough registers."""
+    for b in batches:
+        if len(b):
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(b), -1) for c in b.columns[2:4])
+            yield b.filter(pa.array((x == y).sum(axis=1) >= AGREEING)).select(["a", "b", "na", "nb"])
 
 
 def bitmap(rows: DataFrame, key: str) -> DataFrame:
@@ -266,39 +297,76 @@ def with_bit(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     return marked(rows, key, bits).where("__hit").drop("__hit")
 
 
+def _linked(tasks: DataFrame, nodes: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links that tasks (key, i, j, node, pivot, comp) find; texts are fetched for their nodes alone."""
+    asked = scratch.keep(tasks.groupBy("node").agg(F.lit(1).alias("one")).join(nodes.select("node", "digest", "rep"), "node").drop("one"), "dedup-asked")
+    near = with_bit(keyed, "digest", bitmap(asked, "digest"))
+    found = near.join(asked.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    ordered = tasks.join(found, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return scratch.keep(ordered.select("key", "i", "j", "node", "pivot", "comp", "text").mapInArrow(_verify, "a long, b long"), "dedup-links")
+
+
+def _stars(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Step one's tasks: every leader and a bounded share of its members."""
+    pairs = members.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.lit(1).alias("one"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prints").alias(f"p{x}"))
+    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb") - 1e-9)
+    near = scratch.keep(alike.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_agree, "a long, b long, na long, nb long"), "dedup-pairs")
+    leaders = near.groupBy("b").agg(F.ceil(F.sum("na") / F.greatest(F.lit(STAR_SHINGLES), STAR_LEADERS * F.max("nb"))).cast("int").alias("g"))
+    chunk = F.pmod(F.xxhash64("a"), F.col("g")).cast("int")
+    held = near.join(leaders, "b").select(F.col("b").alias("key"), F.lit(0).alias("i"), chunk.alias("j"), F.col("a").alias("node"), F.lit(False).alias("pivot"))
+    lead = leaders.select(F.col("b").alias("key"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"), F.col("b").alias("node"), F.lit(True).alias("pivot"))
+    return scratch.keep(held.unionByName(lead).withColumn("comp", F.col("node")), "dedup-stars")
+
+
+def _rest(members: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Step two's tasks: buckets whose members, but for the leader, are of several components."""
+    named = members.where("node <> leader").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
+    h = F.xxhash64("node")
+    sets = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(h).alias("x")).where("lo < hi")
+    once = sets.groupBy("m", "x").agg(F.min("key").alias("key"))  # bands that agree on a bucket need it once
+    open_ = scratch.keep(named.join(once.select("key"), "key"), "dedup-open")
+    comps = open_.groupBy("key", "comp").agg(F.sum("n").alias("n"))
+    sums = comps.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+    chunks = sums.select("key", F.col("top.comp").alias("major"), F.ceil(F.col("all") / CHUNK_SHINGLES).cast("int").alias("g"), F.ceil((F.col("all") - F.col("top.n")) / CHUNK_SHINGLES).cast("int").alias("gp"))
+    pivot = F.col("comp") != F.col("major")
+    own, mine = F.pmod(h, F.col("g")).cast("int"), F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("gp")).cast("int")
+    up_to = lambda g: F.sequence(F.lit(0), F.col(g) - 1)
+    column = F.transform(up_to("gp"), lambda i: F.struct(i.alias("i"), own.alias("j")))
+    row = F.transform(up_to("g"), lambda j: F.struct(mine.alias("i"), j.alias("j")))
+    cells = F.explode(F.when(pivot, F.array_distinct(F.concat(column, row))).otherwise(column)).alias("cell")
+    tasks = open_.join(chunks, "key").select("key", "node", pivot.alias("pivot"), "comp", cells)
+    return scratch.keep(tasks.select("key", "cell.i", "cell.j", "node", "pivot", "comp"), "dedup-rest")
+
+
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, n) of every row, and (digest, rep, class_id, first) of every distinct text with words.
 
     ``rep`` is the least id of a text, ``first`` holds for the one text that stands for its class.
     """
+    scratch = Scratch(docs.sparkSession)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("digest"), F.col(text_col).alias("text"))
-    signed = materialize(keyed.mapInArrow(_sign, "doc_id long, digest binary, n long, bands array<long>"), "dedup-signed")
-    distinct = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
-
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").drop("top")
-    edges = banded.join(buckets, "key").where("node <> b").select(F.col("node").alias("a"), "b")
-    blobs = materialize(components(edges), "dedup-groups")
-
-    weighed = blobs.join(nodes.select("node", "digest", "rep", "n"), "node")
-    chunks = weighed.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("g"))
-    asked = materialize(weighed.join(chunks, "root").select("root", "node", "digest", "rep", "g", F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("c")), "dedup-asked")
-    most = asked.agg(F.max("g")).first()[0] or 0
-
-    near = with_bit(keyed, "digest", bitmap(asked, "digest"))
-    found = near.join(asked.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    tasks = found.select("root", "node", "text", "c", other.alias("o")).select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "text")
-    ordered = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    links = materialize(ordered.mapInArrow(_verify, "a long, b long"), "dedup-links")
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")) if most <= 1 else components(links)
-
-    named = nodes.select("digest", "rep", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialize(named, "dedup-named")
+    signed = scratch.keep(keyed.mapInArrow(_sign, "doc_id long, digest binary, n long, bands array<long>, prints binary"), "dedup-signed")
+    distinct = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("prints").alias("prints"))
+    nodes = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
+
+    banded = nodes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader < top").drop("top")
+    members = scratch.keep(banded.join(buckets, "key"), "dedup-members")
+
+    links = _linked(_stars(members, nodes, scratch), nodes, keyed, scratch)
+    roots = scratch.keep(components(links), "dedup-roots")
+    rest = _rest(members, roots, scratch)
+    if not rest.isEmpty():
+        more = _linked(rest, nodes, keyed, scratch)
+        roots = scratch.keep(components(links.unionByName(more)), "dedup-roots")
+
+    named = scratch.keep(nodes.select("digest", "rep", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-named")
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("k"), "rep", "digest")).alias("h"))
     texts = named.join(heads, "root").select("digest", "rep", F.col("h.rep").alias("class_id"), (F.col("h.digest") == F.col("digest")).alias("first"))
-    return signed.select("doc_id", "digest", "n"), materialize(texts, "dedup-classes")
+    out = materialize(signed.select("doc_id", "digest", "n"), "dedup-rows"), materialize(texts, "dedup-classes")
+    scratch.delete()
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,15 +382,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Texts of which every row but one goes, or all. The others, most as a rule, pass without a shuffle or a join.
     copied = rows.where("n > 0").groupBy("digest").agg(F.count("*").alias("m")).where("m > 1").select("digest")
     touched = materialize(copied.unionByName(texts.where("not first").select("digest")), "dedup-touched")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    digest = F.unhex(F.md5(F.coalesce(text_col, F.lit(""))))
-    told = marked(docs.withColumn("__digest", digest), "__digest", bitmap(touched, "digest"))
-    wordless = n_words(F.col(text_col)) == 0
-    hit = told.where(F.col("__hit") & ~wordless)
-    first = texts.where("first").select(F.col("digest").alias("__d"), F.col("rep").alias("__r"))
-    found = hit.join(first, (F.col("__digest") == F.col("__d")) & F.col(id_col).cast("long").eqNullSafe(F.col("__r")))
-    one = found.withColumn("__k", F.row_number().over(Window.partitionBy("__digest", "__r").orderBy(F.col("__d")))).where("__k = 1")
-    return told.where(~F.col("__hit") | wordless).select(*columns).unionByName(one.select(*columns))
+    text = F.col(f"`{text_col}`")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), (n_words(text) == 0).alias("wordless"))
+    told = marked(own, "digest", bitmap(touched, "digest"))
+    hit = told.where(F.col("__hit") & ~F.col("wordless"))
+    first = texts.where("first").select(F.col("digest").alias("d"), "rep")
+    found = hit.join(first, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    one = found.withColumn("k", F.row_number().over(Window.partitionBy("digest", "rep").orderBy(F.col("d")))).where("k = 1")
+    return told.where(~F.col("__hit") | F.col("wordless")).select("row.*").unionByName(one.select("row.*"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

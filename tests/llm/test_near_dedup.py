@@ -75,7 +75,9 @@ def test_classes_agree_with_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert sorted(map(tuple, nd.classes(docs).collect())) == want
-    monkeypatch.setattr(nd, "CHUNK_SHINGLES", 1500)  # groups in several chunks, every pair of them a task
+    monkeypatch.setattr(nd, "CHUNK_SHINGLES", 700)  # buckets in several chunks
+    monkeypatch.setattr(nd, "STAR_SHINGLES", 300)
+    monkeypatch.setattr(nd, "STAR_LEADERS", 2)
     assert sorted(map(tuple, nd.classes(docs).collect())) == want
 
 
