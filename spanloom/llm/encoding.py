@@ -8,9 +8,11 @@ them).
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -66,6 +68,7 @@ class Encoder:
         self.edge = np.array([n.startswith("\u0120") if self.mode == "keeps" else bool(suffix) and n.endswith(suffix) for n in names])
         self.mark = np.array([bool(self.special) and n == self.special[0] for n in names])
         self.ends = {c for c in ENDS if not any(c in s for s in self.special)}
+        self.has_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         self.words: dict[str, bytes] = {}
         self.held = 0
         #: Words that begin or end with a blank.
@@ -90,16 +93,21 @@ class Encoder:
             ask = [w for w in missing if w]
             words[""] = b""
         # Such a sign is a piece of its own under both kinds, so stems are asked once.
-        ends = {w: (w[:-1], w[-1]) for w in ask if len(w) > 1 and w[-1] in self.ends and ends_alone(w[-2])}
+        alone, signs = functools.cache(ends_alone), self.ends
+        ends = {w: (w[:-1], w[-1]) for w in ask if w[-1] in signs and len(w) > 1 and alone(w[-2])}
         ask = list({ends[w][0] if w in ends else w for w in ask}.difference(words))
-        plain, odd = [], []
-        for w in ask:
-            (odd if any(x in w for x in self.special) or not (self.mode == "keeps" or (w.isalpha() and max(w) < "\u0100")) else plain).append(w)
+        special = [w for w in ask if self.has_special(w)]
+        for w in special:
+            words[w] = self.whole(self.blank + w)
+        if special:
+            ask = [w for w in ask if w not in words]
+        if self.mode == "keeps":
+            plain, odd = ask, []
+        else:
+            plain = [w for w in ask if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
+            odd = set(ask).difference(plain)
         self._ask(plain, " ", self.edge)
-        self._ask([w for w in odd if not any(x in w for x in self.special)], self.special[0], self.mark)
-        for w in odd:
-            if w not in words:
-                words[w] = self.whole(self.blank + w)
+        self._ask(list(odd), self.special[0], self.mark)
         for w, (stem, end) in ends.items():
             words[w] = words[stem] + self._alone(end)
 
@@ -163,13 +171,15 @@ class Encoder:
                 self.held -= 4 * len(w) + len(table.pop(w))
         before = len(table)
         self._learn(missing)
-        out = [table[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        get = table.__getitem__
+        out = list(map(get, words)) if len(missing) == len(words) else [get(w) if x is None else x for w, x in zip(words, found, strict=True)]
         fresh = list(itertools.islice(reversed(table), len(table) - before))
-        for w in fresh:
-            if len(w) > KEPT_CHARS and w not in self.beside:
-                del table[w]
-            else:
-                self.held += 4 * len(w) + len(table[w])
+        if max(map(len, fresh)) > KEPT_CHARS:
+            for w in fresh:
+                if len(w) > KEPT_CHARS and w not in self.beside:
+                    del table[w]
+            fresh = [w for w in fresh if w in table]
+        self.held += 4 * sum(map(len, fresh)) + sum(map(len, map(get, fresh)))
         return out
 
     def _together(self, texts: pa.Array, chars: np.ndarray) -> list[bytes]:
@@ -177,7 +187,7 @@ class Encoder:
         split = pc.split_pattern(texts, " ")
         bounds, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
         word = coded.indices.to_numpy()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
         found = self._known(names)
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
         ids = np.frombuffer(b"".join(found), self.dtype)

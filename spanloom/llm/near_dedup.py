@@ -48,8 +48,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Registers hit on average by the horizon: log(m) plus this.
 SLACK = 2.5
+#: Points of a process that are drawn at once, at most.
+POINTS = 256
 #: Characters of text that are turned into arrays at once.
-TEXT_AT_ONCE = 1_000_000
+TEXT_AT_ONCE = 2_000_000
 #: Shingles of the members that meet a leader in one task, about, and as multiples of the leader's own at least.
 STAR_SHINGLES, STAR_LEADERS = 16_384, 16
 #: Shingles of a chunk in step two, about; a task holds two chunks at most.
@@ -83,7 +85,7 @@ def shingles(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray
     if not real.any():
         return none
     owner, coded = owner[real], flat.filter(pa.array(real)).dictionary_encode()
-    hashes = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False)
+    hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
     w = hashes[coded.indices.to_numpy()]
     n = np.bincount(owner, minlength=len(split))
     starts = np.cumsum(n) - n
@@ -133,22 +135,26 @@ def _points(sig: np.ndarray, text: np.ndarray, h: np.ndarray, weight: np.ndarray
         t, w = text[own], weight[own]
         with np.errstate(over="ignore"):
             state = mixed64(h[own] + np.uint64(k) * _A)
-            time, end = np.zeros(len(t)), horizon[t]
+            time, end, made = np.zeros(len(t)), horizon[t], 0
             while len(t):
-                state = mixed64(state)
-                u = ((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-                time = time - np.log(u) / (m * width)
-                on = time < end
-                state, time, end, t = state[on], time[on], end[on], t[on]
-                w = w[on] if k else w
-                draw = mixed64(state ^ _C)
-                slot = t * m + ((draw >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+                # A few points of each process at once, more where few processes are left; the sums run in their order.
+                n = max(1, min(POINTS, POINTS * 32 // len(t)))
+                point = mixed64(state[:, None] + np.arange(made + 1, made + n + 1, dtype=np.uint64) * _C)
+                made += n
+                step = -np.log(((point >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (m * width)
+                step[:, 0] += time
+                times = np.cumsum(step, axis=1)
+                on = times < end[:, None]
+                draw = mixed64(point[on] ^ _B)
+                row = np.repeat(np.arange(len(t)), on.sum(axis=1))
+                slot = t[row] * m + ((draw >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
                 if k:  # the point's weight coordinate lies in (low, low + width]
-                    at = low + 1 + ((draw & np.uint64(0xFFFFFFFF)) % np.uint64(width)).astype(np.int64)
-                    hit = at <= w
-                    np.minimum.at(sig, slot[hit], time[hit])
+                    hit = low + 1 + ((draw & np.uint64(0xFFFFFFFF)) % np.uint64(width)).astype(np.int64) <= w[row]
+                    np.minimum.at(sig, slot[hit], times[on][hit])
                 else:
-                    np.minimum.at(sig, slot, time)
+                    np.minimum.at(sig, slot, times[on])
+                left = on[:, -1]
+                state, time, end, t, w = state[left], times[left, -1], end[left], t[left], w[left]
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
