@@ -14,7 +14,7 @@ each archive's records with the verdicts for them.
 
 Defined cases: a null payload is empty; equal payloads shorter than ``min_bytes`` are all responses; of equal payloads
 the record with the largest key is the response, of equal keys the last in file order, null keys below all others;
-blanks in a URL are percent-encoded, a null URL is ``urn:null``; a header line that doesn't fit its version, or a
+blanks in a URL are percent-encoded, a null URL is ``urn:null``, a header line may have any length; one that doesn't fit its version, or a
 record shorter than declared, is an error; no archives give no rows; further columns are ignored.
 """
 
@@ -43,6 +43,8 @@ FIELDS = {
 }
 #: An HTTP header field that carries a record's key through both formats.
 KEY_FIELD = "X-Record-Key"
+#: A WARC field of revisits: the bytes of the payload that the record leaves out.
+LENGTH_FIELD = "WARC-Payload-Length"
 #: Bytes after which a new archive is begun, and the compression of its records.
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 1
@@ -89,9 +91,9 @@ def read_arc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     names = FIELDS[1]
     first = True
     while True:
-        line = data.readline(1 << 20)
+        line = data.readline()
         while line in (b"\n", b"\r\n"):
-            line = data.readline(1 << 20)
+            line = data.readline()
         if not line:
             return
         if first and not line.startswith(b"filedesc://"):
@@ -189,7 +191,7 @@ def warc_record(kind: str, file: str, place: int, head: dict[str, str], content:
             fields.append(("WARC-IP-Address", head["IP-address"]))
     if refers is not None:
         block = parts[0] if parts else b""
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers[0], refers[1])), ("WARC-Refers-To-Target-URI", refers[2]), ("WARC-Refers-To-Date", warc_date(refers[3]))]
+        fields += [(LENGTH_FIELD, str(len(payload))), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers[0], refers[1])), ("WARC-Refers-To-Target-URI", refers[2]), ("WARC-Refers-To-Date", warc_date(refers[3]))]
         if refers[4] is not None:
             fields.append(("WARC-Refers-To-Key", str(refers[4])))
     if payload is not None:
@@ -297,7 +299,8 @@ def convert(files: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
             into_place(folder, name, body)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["file", "n_records"])
 
-    ordered = verdicts.repartition("file").sortWithinPartitions("file", "place")
+    # An archive is rewritten by one task, and there are as many tasks as archives, however small their verdicts are.
+    ordered = verdicts.repartition(max(1, files.count()), "file").sortWithinPartitions("file", "place")
     return materialize(ordered.mapInArrow(run, "file string, n_records long"), "warc-files")
 
 
@@ -323,7 +326,7 @@ def records(files: DataFrame) -> DataFrame:
                         digest = fields["warc-payload-digest"].removeprefix("sha1:")
                         if kind != "revisit" and digest != sha1_base32(payload):
                             raise ValueError("a payload differs from its digest")
-                        size = int(http.get("content-length", 0)) if kind == "revisit" else len(payload)
+                        size = int(fields.get(LENGTH_FIELD.lower()) or http.get("content-length", 0)) if kind == "revisit" else len(payload)
                         key, to = http.get(KEY_FIELD.lower()), fields.get("warc-refers-to-key")
                         rows.append((int(key) if key is not None else None, fields["warc-target-uri"], fields["warc-record-id"], kind, size, digest, int(to) if to is not None else None, fields.get("warc-refers-to")))
                         if len(rows) >= 8192:

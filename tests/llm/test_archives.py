@@ -30,6 +30,19 @@ def test_warc_records():
         list(warc.read_warc(io.BytesIO(raw.replace(b"\r\n\r\nabc", b"\r\n\r\nabd"))))
 
 
+def test_a_very_long_url(spark):
+    rows = spark.createDataFrame([(1, "http://e.org/" + "a" * 3_000_000, "x"), (2, "http://e.org/", "x")], "page_id long, url string, html string")
+    found = {r.key: r for r in warc.records(warc.convert(warc.write_arc(rows, new_dir(spark, "arc")), new_dir(spark, "warc"))).collect()}
+    assert len(found[1].url) == 3_000_013 and (found[1].record_type, found[1].refers_to, found[2].record_type) == ("revisit", 2, "response")
+
+
+def test_a_revisit_has_the_size_that_was_measured():
+    head = {"URL": "http://e.org/", "IP-address": "-", "Archive-date": "20010203040506", "Content-type": "text/html", "Archive-length": "9"}
+    content = b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\nabc"
+    ((fields, block),) = warc.read_warc(io.BytesIO(warc.warc_record("revisit", "f.arc", 1, head, content, ("g.arc", 2, "http://e.org/", "2001", 5))))
+    assert fields["warc-payload-length"] == "3" and block.endswith(b"\r\n\r\n") and fields["warc-refers-to-key"] == "5"
+
+
 def pages(spark):
     rows = [(i, f"http://e.org/{i}", f"<p>{i % 3}</p>", "x") for i in range(9)] + [(20, None, None, "x"), (21, "http://e.org/a b", "", "x"), (22, "u", "ü€", "x"), (None, "u", "<p>0</p>", "x"), (8, "again", "<p>2</p>", "x")]
     return spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
