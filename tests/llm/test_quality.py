@@ -51,10 +51,44 @@ def test_divergence_tells_junk_from_prose(spark):
     assert not any(found[100 + i].base_failed for i in range(6))
 
 
-def test_references_stand_where_nothing_is_near(spark):
-    rows = [row(i, " ".join([w] * 20 + ["x"] * 20 + [f"y{k}" for k in range(30)])) for i, w in enumerate(["the", "of", "and", "to", "in"])]
+def english(seed, n_words):
+    rng = random.Random(seed)
+    syllables = ["ba", "lo", "ti", "ne", "ru", "sha"]
+    word = lambda: rng.choice(quality.COMMON_WORDS["en"]) if rng.random() < 0.4 else "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    return " ".join(w.capitalize() if i % 12 == 0 else w + "." if i % 12 == 11 else w for i, w in enumerate(word() for _ in range(n_words)))
+
+
+def test_numbers_and_texts_without_common_words_are_told(spark):
+    rng = random.Random(9)
+    bare = lambda n: " ".join("".join(rng.choices(["ba", "lo", "ti", "ne"], k=3)) for _ in range(n))
+    numbers = lambda n: " ".join(str(rng.randint(10**4, 10**7)) for _ in range(n))
+    rows = [row(i, english(i, 45 + 20 * i)) for i in range(40)]
+    rows += [row(100, numbers(60)), row(101, numbers(2000)), row(102, bare(40)), row(103, bare(100)), row(104, bare(190))]
+    found = {r.doc_id: r for r in quality.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i in range(40) if not found[i].kept] == [] and not any(found[i].kept or found[i].base_failed for i in range(100, 105))
+
+
+def test_every_language_has_its_own_reference(spark):
+    rng = random.Random(5)
+    han = lambda n: "。".join(" ".join("".join(chr(rng.randint(0x4E00, 0x5E00)) for _ in range(3)) for _ in range(9)) for _ in range(n))
+    rows = [row(i, english(i, 200)) for i in range(30)] + [row(100 + i, han(12), lang="zh") for i in range(30)] + [row(200, han(12), lang="zh-few"), row(201, han(12)), row(202, english(202, 200), lang="zh"), row(203, english(3, 200), lang=None)]
+    found = {r.doc_id: r.kept for r in quality.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(found[i] for i in [*range(30), *range(100, 130), 200, 203]) and not found[201] and not found[202]
+
+
+def test_reruns_agree_in_any_order(spark):
+    rows = [row(i, english(i, 40 + i)) for i in range(60)] + [row(100 + i, english(i, 50).upper()) for i in range(9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, other = (quality.references(quality.features(d)).collect() for d in (docs, docs.repartition(9)))
+    assert one == other and len(one) == 1 and len(one[0].qc) == 6 and len(one[0].qw) == 13
+
+
+def test_the_middle_stands_where_too_few_are_near(spark, monkeypatch):
+    rows = [row(i, " ".join([["the", "of", "and", "to", "in"][i % 5]] * 20 + [f"y{k}" for k in range(60)])) for i in range(30)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert quality.references(quality.features(docs).withColumn("n_repeat_words", F.lit(0))) != {}
+    monkeypatch.setattr(quality, "MAX_WORD_DISTANCE", 0.01)
+    refs = quality.references(quality.features(docs).withColumn("n_repeat_words", F.lit(0).cast("long"))).collect()
+    assert [r.lang for r in refs] == ["en"]
 
 
 def test_distance_is_jensen_shannon(spark):
