@@ -84,6 +84,24 @@ def running(rows: DataFrame, order: str, value: Column, name: str, tag: str) ->
     return dealt.join(F.broadcast(ranges.drop("__sum")), "__range").withColumn(name, total).drop("__range", "__value", "__before")
 
 
+def numbered(rows: DataFrame, by: list[str], cells: list[str], name: str = "nth") -> DataFrame:
+    """Adds ``name``: 0, 1, ... among the rows that agree in ``by``, in the order of ``cells``.
+
+    Rows are numbered within their cell, and cells (a bounded number for each key) by how many rows come before, so
+    that no key's rows meet in one task. What cells don't tell apart is numbered in any order.
+    """
+    sizes = rows.groupBy(*by, *cells).agg(F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy(*by).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # As names, so that nulls among the keys meet.
+    keys = [*by, *cells]
+    offsets = sizes.select(*[F.col(c).alias(f"__{c}") for c in keys], before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) - 1
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.withColumn("__inside", inside).join(offsets, same).withColumn(name, F.col("__before") + F.col("__inside")).drop("__before", "__inside", *[f"__{c}" for c in keys])
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATORS), lambda w: w != "")

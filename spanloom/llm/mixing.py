@@ -21,10 +21,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize, n_words, table
+from spanloom.llm.common import materialize, n_words, numbered, running, table
 
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
@@ -32,6 +32,8 @@ CAP = 3
 #: Documents of a block, about, and copies of each source's row for the join with the documents.
 BLOCK_DOCS = 2000
 SALTS = 32
+#: Cells in which rows that agree are numbered.
+CELLS = 256
 #: Units of a block that its flight leaves alone, for the landing; in a source's last block.
 HELD, LAST_HELD = 4, 12
 EPS = 1e-9
@@ -44,9 +46,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     The targets are min(cap * size, level * weight); the level rises as capped sources give their excess away, and
     is found by a few sums over the sources.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = reduce(lambda c, iw: F.when((F.col("rank") - 1) % len(weights) == iw[0], float(iw[1])).otherwise(c), enumerate(weights), F.lit(float(weights[0])))
-    rows = materialize(sources.withColumn("rank", rank).withColumn("weight", weight), "mix-sources")
+    weight = reduce(lambda c, iw: F.when(F.col("rank") % len(weights) == iw[0], float(iw[1])).otherwise(c), enumerate(weights), F.lit(float(weights[0])))
+    rows = materialize(running(sources, "source", F.lit(1), "rank", "mix-ranges").withColumn("weight", weight), "mix-sources")
     limit = F.col("source_size") * float(cap)
     level, capped = None, -1
     while True:
@@ -142,14 +143,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block_docs: int = BLOC
     """(doc_id, source, size, source_size, target, copies, taken): how often each document goes into the mix."""
     if block_docs < 4 * (HELD + 2):
         raise ValueError("a block has to be several times what it hands on")
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    rows = materialize(sizes.withColumn("h", F.xxhash64("doc_id", "source", "size")).withColumn("cell", F.spark_partition_id() % CELLS), "mix-sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, cap)
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     whole = F.floor(rate + EPS)
     sources = materialize(sources.select("source", F.col("rank").cast("long").alias("sid"), "source_size", "target", "n", whole.alias("base"), F.greatest(rate - whole, F.lit(0.0)).alias("p")), "mix-targets")
 
-    u = F.xxhash64("doc_id", "source", "size")
-    keyed = rows.select("*", u.alias("u"), F.pmod(u, F.lit(SALTS)).alias("salt"), F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"))
+    # Rows that agree in id, source and size are numbered, so that each has a hash of its own.
+    again = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select(F.col("h").alias("of"))
+    told = rows.join(again, F.col("h") == F.col("of"), "left")
+    alike = numbered(told.where("of is not null").drop("of"), ["h", "doc_id", "source", "size"], ["cell"])
+    rows = told.where("of is null").drop("of").withColumn("nth", F.lit(0).cast("long")).unionByName(alike)
+    u = F.when(F.col("nth") == 0, F.col("h")).otherwise(F.xxhash64("h", "nth"))
+    keyed = rows.select("doc_id", "source", "size", u.alias("u"), F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0")).withColumn("salt", F.pmod("u", F.lit(SALTS)))
     salted = sources.select("sid", "base", "p", "n", F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     units = keyed.join(salted, ["k", "k0", "salt"]).select("doc_id", "size", "sid", "p", "base", F.ceil(F.col("n") / block_docs).cast("int").alias("nb"), "u")
 
@@ -175,18 +182,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block_docs: int = BLOC
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with all their columns.
 
-    Rows that agree in id, source and size share their copies evenly, those with the lesser texts first.
+    Rows that agree in id, source and size share their copies evenly, what is over going by the hashes of their texts.
     """
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    same = plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("m"))
-    same = same.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__c"), F.col("m").alias("__m")).where("__c > 0")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & F.col(source_col).cast("string").eqNullSafe(F.col("__s")) & (n_words(F.col(text_col)) == F.col("__z"))
-    found = docs.join(same, on)
-    w = Window.partitionBy("__i", "__s", "__z").orderBy(F.col(text_col))
-    once = found.where("__m = 1").withColumn("__n", F.col("__c"))
-    more = found.where("__m > 1").withColumn("__n", F.expr("__c div __m") + (F.row_number().over(w) <= F.col("__c") % F.col("__m")).cast("long")).where("__n > 0")
-    rows = once.unionByName(more).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("m")).where("c > 0")
+    same = same.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "c", "m")
+    text = F.col(f"`{text_col}`")
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        n_words(text).alias("size"),
+        F.pmod(F.xxhash64(text), F.lit(CELLS)).alias("letters"),
+        (F.spark_partition_id() % CELLS).alias("cell"),
+    )
+    found = own.join(same, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("i", "s", "z")
+    once = found.where("m = 1").withColumn("n", F.col("c"))
+    more = numbered(found.where("m > 1"), ["doc_id", "source", "size"], ["letters", "cell"]).withColumn("n", F.expr("c div m") + (F.col("nth") < F.col("c") % F.col("m")).cast("long"))
+    rows = once.select("row", "n").unionByName(more.where("n > 0").select("row", "n"))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,8 +59,19 @@ def test_mix(spark, block):
     assert sorted(map(str, rows)) == sorted(map(str, again.collect()))
 
 
+def test_rows_that_agree_are_spread(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 300 + [(1, None, "s")] * 7 + [(i, "x " * i, "t") for i in range(2, 300)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, block_docs=24).collect()
+    again = mixing.mix(docs.repartition(5), block_docs=24).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == docs.count()
+    for s in "st":
+        one = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in one) - one[0].target) <= 3
+    assert len(mixing.mixed(docs, block_docs=24).collect()) == sum(r.copies for r in rows)
+
+
 def test_mixed_rows(spark):
-    docs = documents(spark)
+    docs = documents(spark).withColumns({"row": F.lit(1), "c": F.lit(2), "nth": F.lit(3), "__before": F.lit(4), "cell": F.lit(5)})
     taken = mixing.mix(docs).agg(F.sum("copies")).first()[0]
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() == taken
