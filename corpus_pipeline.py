@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes i
 reads it back as the next one's docs. All but the last keep the columns of ``documents``.
 
 Quality drops the documents its rules reject; near-duplicates keeps one document of each class; mixing takes each
-document as often as the mix says, not at all up to three times; packing returns the pieces of the sequences.
+document as often as the mix says, not at all up to three times; packing returns the pieces of the sequences with
+their token ids, so the sequences are what a training run reads.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Workers have run the other stages before and hold memory from them, so the table of words is smaller here.
-    return packing.pack(docs, with_ids=False, cache_entries=600_000)
+    return packing.pack(docs, cache_entries=600_000)
 
 
 STAGES = [
