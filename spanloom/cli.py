@@ -53,14 +53,14 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
             except KeyboardInterrupt:
                 pass
     elif args.command == "otlp":
-        landing = Landing(f"{args.path}/_landing")
+        landing = Landing(store.files, f"{args.path}/_landing")
         ingest = Ingest(store, landing, f"{args.path}/_checkpoint")
-        query = ingest.start()
+        ingest.start()
         with receiver.server(landing, *args.addr) as serving:
             try:
                 serving.serve_forever()
             except KeyboardInterrupt:
-                ingest.drain(query)
+                ingest.drain()
     return 0
 
 

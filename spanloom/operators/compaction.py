@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 from spanloom.operators.merge import newest
 from spanloom.sources.records import RecordSpec
-from spanloom.sources.store import File, Store, directory, merged_name, split_live
+from spanloom.sources.store import File, Store, directory, merged_name, new_id, split_live
 
 #: Bytes of a file that is not merged any more, files of a merge (a name has 255 bytes), and how many
 #: times the first file's size a further one of an open partition may have.
 TARGET_BYTES = 128 << 20
 MOST_SOURCES = 6
 SPREAD = 8
+#: A lock that is older is of a compactor that died; one merge takes far less.
+STALE_SECONDS = 3600
 
 
 def next_batch(files: Iterable[File], closed: bool, target: int = TARGET_BYTES) -> list[File]:
@@ -48,9 +50,10 @@ class Report:
 
 
 class Compactor:
-    def __init__(self, store: Store, spec: RecordSpec, target: int = TARGET_BYTES, keep_sources: bool = False):
+    def __init__(self, store: Store, spec: RecordSpec, target: int = TARGET_BYTES, keep_sources: bool = False, stale_seconds: float = STALE_SECONDS):
         """``keep_sources`` leaves merged files to the next pass, for readers that still hold an older listing."""
-        self.store, self.spec, self.target, self.keep_sources = store, spec, target, keep_sources
+        self.store, self.spec, self.target, self.keep_sources, self.stale_seconds = store, spec, target, keep_sources, stale_seconds
+        self.owner = new_id().encode()
 
     def merge(self, value: str, sources: list[File]) -> str:
         """One file of the sources' rows, newest per key; its name is the commit, then the sources go."""
@@ -64,7 +67,7 @@ class Compactor:
     def partition(self, value: str, closed: bool) -> int:
         """Merges until no batch is left; the number of merges. One compactor works on a partition at a time."""
         lock = f"{self.store.table_path(self.spec)}/_locks/{directory(value)}"
-        if not self.store.files.create_once(lock):
+        if not self._locked(lock):
             return 0
         try:
             done = 0
@@ -81,8 +84,24 @@ class Compactor:
                     return done
                 self.merge(value, batch)
                 done += 1
+                if self.store.files.exists(lock) and self.store.files.read(lock) != self.owner:
+                    return done  # it was taken for dead; the other one goes on
+                self.store.files.write(lock, self.owner)  # still alive
         finally:
-            self.store.files.delete(lock)
+            if self.store.files.exists(lock) and self.store.files.read(lock) == self.owner:
+                self.store.files.delete(lock)
+
+    def _locked(self, lock: str) -> bool:
+        """Whether the lock is ours now. One that hasn't been renewed for long is of a compactor that died: it goes, and
+        whoever makes the next one first has it."""
+        files = self.store.files
+        if files.create_once(lock, self.owner):
+            return True
+        age = files.age(lock)
+        if age is not None and age > self.stale_seconds:
+            files.delete(lock)
+            return files.create_once(lock, self.owner)
+        return False
 
     def run(self, at_once: int = 4) -> Report:
         """All partitions, several side by side; all but the newest are closed."""

@@ -61,10 +61,21 @@ def operations(rolled: DataFrame, text: str = "", exact: bool = True) -> DataFra
     )
 
 
-def ordered(found: DataFrame, by: str = "last_seen") -> DataFrame:
-    """Operations in table order: by a column, the latest first among equals, then by name."""
+#: Columns by which operations may be put in order.
+SORTS = ("last_seen", "root_name", "traces", "avg_ms", "p95_ms")
+
+
+def table_order(by: str = "last_seen") -> list[Column]:
+    """By a column, the latest first among equals, then by name."""
+    if by not in SORTS:
+        raise ValueError(f"operations aren't ordered by {by}")
     first = F.col("root_name").asc_nulls_first() if by == "root_name" else F.col(by).desc_nulls_last()
-    return found.orderBy(first, F.col("last_seen").desc_nulls_last(), F.col("root_service").asc_nulls_first(), F.col("root_name").asc_nulls_first())
+    return [first, F.col("last_seen").desc_nulls_last(), F.col("root_service").asc_nulls_first(), F.col("root_name").asc_nulls_first()]
+
+
+def ordered(found: DataFrame, by: str = "last_seen") -> DataFrame:
+    """Operations in table order."""
+    return found.orderBy(*table_order(by))
 
 
 def traces_of(rolled: DataFrame, service: str | None, name: str | None, sort: str = "slowest", limit: int = TRACES_LISTED) -> DataFrame:

@@ -8,17 +8,21 @@ Twins agree to the bit: sums of prices are exact decimals, averages are rounded,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions import tags
 from spanloom.operators import traces as tr
 from spanloom.operators.asof import asof_join, range_join
+from spanloom.operators.compaction import Compactor
 from spanloom.operators.merge import newest
 from spanloom.plans.pruning import between_received
+from spanloom.sources.catalog import Catalog
 from spanloom.sources.records import RecordSpec, partition_column
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -160,15 +164,39 @@ def slowest_traces(spark, sf_dir):
     return found.withColumns({"started_at": _micros("started_at"), "seconds": F.round("seconds", 4)})
 
 
-@query("ordered_operations", f"WITH {SPANS_SQL}, {TRACES_SQL}, o AS (SELECT {_OPERATIONS} FROM traces GROUP BY root_service, root_name) SELECT * FROM o ORDER BY traces DESC NULLS LAST, last_seen DESC, root_service NULLS FIRST, root_name NULLS FIRST LIMIT 3")
+@query("ordered_operations", f"WITH {SPANS_SQL}, {TRACES_SQL}, o AS (SELECT {_OPERATIONS} FROM traces GROUP BY root_service, root_name) SELECT *, row_number() OVER (ORDER BY traces DESC NULLS LAST, last_seen DESC NULLS LAST, root_service NULLS FIRST, root_name NULLS FIRST) AS place FROM o")
 def ordered_operations(spark, sf_dir):
-    return tr.ordered(_operations(_rolled(spark, sf_dir)), "traces").limit(3)
+    return _operations(_rolled(spark, sf_dir)).withColumn("place", F.row_number().over(Window.orderBy(*tr.table_order("traces"))).cast("long"))
 
 
-@query("spans_of_trace", f"WITH {SPANS_SQL} SELECT event_id, name, epoch_us(started_at) AS started_at FROM spans WHERE trace_id = 7 AND partition BETWEEN '2024-01-03T00:00:00Z' AND '2024-01-20T00:00:00Z'")
+def _spans_with_ids(spark, sf_dir) -> DataFrame:
+    wide = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
+    rows = events_as_spans(spark, sf_dir).withColumns({"status": F.lit("ok"), "status_message": F.lit(None).cast("string"), "span_id": wide("event_id", 16)})
+    return rows.withColumns({"trace_id": wide("trace_id", 32), "parent_span_id": wide("parent_span_id", 16)})
+
+
+_ONE_TRACE = "trace_id = 7 AND partition BETWEEN '2024-01-03T00:00:00Z' AND '2024-01-20T00:00:00Z'"
+
+
+def _one_trace(spark, sf_dir) -> DataFrame:
+    return tr.spans_of(_spans_with_ids(spark, sf_dir), f"{7:032x}", "2024-01-03T00:00:00Z", "2024-01-20T00:00:00Z")
+
+
+@query("spans_of_trace", f"WITH {SPANS_SQL} SELECT lpad(lower(hex(event_id)), 16, '0') AS span_id, service, name, epoch_us(started_at) AS started_at, epoch_us(ended_at) AS ended_at FROM spans WHERE {_ONE_TRACE}")
 def spans_of_trace(spark, sf_dir):
-    rows = events_as_spans(spark, sf_dir)
-    return rows.where((F.col("trace_id") == 7) & F.col("partition").between("2024-01-03T00:00:00Z", "2024-01-20T00:00:00Z")).select("event_id", "name", _micros("started_at"))
+    return _one_trace(spark, sf_dir).select(F.lower(F.hex("span_id")).alias("span_id"), "service", "name", _micros("started_at"), _micros("ended_at"))
+
+
+@query(
+    "trace_waterfall",
+    f"""WITH {SPANS_SQL}, s AS (SELECT *, epoch_us(started_at) AS a, epoch_us(ended_at) AS z FROM spans WHERE {_ONE_TRACE}),
+    e AS (SELECT min(a) AS low, greatest(max(a), max(z)) AS high FROM s)
+    SELECT lpad(lower(hex(event_id)), 16, '0') AS span_id, name, CAST(0 AS BIGINT) AS depth, round((a - low) / (high - low), 8) AS at, round((z - a) / (high - low), 8) AS width FROM s, e""",
+)
+def trace_waterfall(spark, sf_dir):
+    rows = tr.waterfall(_one_trace(spark, sf_dir).collect())  # one trace
+    out = [(r["span_id"], r["name"], r["depth"], round(r["offset"], 8), round(r["width"], 8)) for r in rows]
+    return spark.createDataFrame(out, "span_id string, name string, depth long, at double, width double")
 
 
 @query("time_pruned_count", "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05 12:00:00' AND ts <= TIMESTAMP '2024-01-09 06:00:00'")
@@ -183,26 +211,95 @@ def partition_equality(spark, sf_dir):
 
 
 
+# Stored tables: written, pruned, merged and compacted in the shared folder
+
+EVENTS = RecordSpec(
+    "events",
+    (T.StructField("event_id", T.LongType(), False), T.StructField("user_id", T.LongType(), True), T.StructField("event_type", T.StringType(), True), T.StructField("value", T.DoubleType(), True)),
+    ("event_id",),
+    "received_at",
+)
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the folder that driver and executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> Catalog:
+    """All events in a first flush, a third of them again an hour later, with another value, in a second one."""
+    catalog = Catalog(spark, shared_path(spark, "store"), [EVENTS])
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = table(catalog.spark, sf_dir, "events").select(F.lit("1").alias("organization_id"), F.lit("1").alias("project_id"), at.alias("received_at"), "event_id", "user_id", "event_type", "value")
+    catalog.store.write(EVENTS, rows)
+    catalog.store.write(EVENTS, rows.where("event_id % 3 = 0").withColumns({"value": F.col("value") + 1, "received_at": F.expr("received_at + interval 1 hour")}))
+    return catalog
+
+
+STORED_SQL = """stored AS (
+  SELECT *, strftime(date_trunc('day', moment), '%Y-%m-%dT00:00:00Z') AS partition FROM (
+    SELECT event_id, event_type, value, ts AS moment FROM events UNION ALL SELECT event_id, event_type, value + 1, ts + INTERVAL 1 HOUR FROM events WHERE event_id % 3 = 0)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id, partition ORDER BY moment DESC) AS r FROM stored)"""
+
+
+@query("stored_rows", f"WITH {STORED_SQL} SELECT event_type, partition, count(*) AS n, round(sum(value), 4) AS total FROM stored WHERE moment >= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1, 2")
+def stored_rows(spark, sf_dir):
+    return stored_events(spark, sf_dir).sql("select event_type, partition, count(*) as n, round(sum(value), 4) as total from events where received_at >= timestamp'2024-01-20T12:00:00Z' group by 1, 2")
+
+
+@query("stored_newest", f"WITH {STORED_SQL} SELECT event_id, value, partition, epoch_us(moment) AS received FROM ranked WHERE r = 1 AND moment < TIMESTAMP '2024-01-09 06:00:00'")
+def stored_newest(spark, sf_dir):
+    return stored_events(spark, sf_dir).sql("select event_id, value, partition, unix_micros(received_at) as received from events_merged where received_at < timestamp'2024-01-09T06:00:00Z'")
+
+
+@query("stored_compacted", f"WITH {STORED_SQL} SELECT event_id, value, partition FROM ranked WHERE r = 1 OR partition = (SELECT max(partition) FROM stored)")
+def stored_compacted(spark, sf_dir):
+    """Closed days hold one file of the newest rows each; the newest day waits for more files."""
+    catalog = stored_events(spark, sf_dir)
+    Compactor(catalog.store, EVENTS).run(at_once=8)
+    return catalog.sql("select event_id, value, partition from events")
+
+
+@query("stored_explain", "SELECT TRUE AS pruned, TRUE AS pushed")
+def stored_explain(spark, sf_dir):
+    plan = stored_events(spark, sf_dir).select("explain select event_id from events where received_at >= timestamp'2024-01-20T12:00:00Z' and value > 5")
+    return plan.select(F.col("plan").rlike(r"PartitionFilters: \[[^\]]*partition#\d+ >= 2024-01-20T00:00:00Z").alias("pruned"), F.col("plan").rlike(r"PushedFilters: \[[^\]]*GreaterThan\(value,5.0\)").alias("pushed"))
+
+
+@query("scan_csv", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 100")
+def scan_csv(spark, sf_dir):
+    path, rows = shared_path(spark, "csv"), table(spark, sf_dir, "customer")
+    rows.write.option("header", True).csv(path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path).where("c_acctbal > 100").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+@query("scan_json", "SELECT event_id, event_type, value, props FROM events WHERE user_id % 2 = 1")
+def scan_json(spark, sf_dir):
+    path, rows = shared_path(spark, "json"), table(spark, sf_dir, "events")
+    rows.write.json(path)
+    return spark.read.schema(rows.schema).json(path).where("user_id % 2 = 1").select("event_id", "event_type", "value", "props")
+
 
 @query(
     "join_asof",
-    """SELECT o_orderkey, e.event_id FROM orders o ASOF LEFT JOIN (SELECT event_id, user_id, ts - INTERVAL 20 YEAR AS at FROM events) e
+    """SELECT o_orderkey, e.event_id FROM orders o ASOF LEFT JOIN (SELECT max(event_id) AS event_id, user_id, ts - INTERVAL 28 YEAR AS at FROM events GROUP BY user_id, ts) e
        ON o.o_custkey = e.user_id AND o.o_orderdate >= e.at""",
 )
 def join_asof(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"))
-    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), F.expr("ts - interval 20 years").alias("at"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), F.expr("ts - interval 28 years").alias("at"))
     return asof_join(orders, events, by=["k"], on="at").select("o_orderkey", "event_id")
 
 
 @query(
     "join_range",
-    """SELECT e.event_id, o.o_orderkey FROM events e JOIN orders o ON o.o_orderdate >= e.ts - INTERVAL 20 YEAR AND o.o_orderdate <= e.ts - INTERVAL 20 YEAR + INTERVAL 6 HOUR""",
+    """SELECT e.event_id, o.o_orderkey FROM events e JOIN orders o ON o.o_orderdate >= e.ts - INTERVAL 28 YEAR AND o.o_orderdate <= e.ts - INTERVAL 28 YEAR + INTERVAL 6 HOUR""",
 )
 def join_range(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", F.expr("ts - interval 20 years").alias("low"), F.expr("ts - interval 20 years + interval 6 hours").alias("high"))
+    events = table(spark, sf_dir, "events").select("event_id", F.expr("ts - interval 28 years").alias("low"), F.expr("ts - interval 28 years + interval 6 hours").alias("high"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("at"))
-    return range_join(events, orders, "low", "high", "at", 6 * 3600).select("event_id", "o_orderkey")
+    return range_join(events, orders, "low", "high", "at", 2 * 3600).select("event_id", "o_orderkey")
 
 
 # SQL passed on
@@ -232,7 +329,11 @@ both("join_right", "SELECT s.s_suppkey, n.n_nationkey FROM {supplier} s RIGHT JO
 both("join_full", "SELECT a.c_custkey AS a, b.user_id AS b FROM (SELECT c_custkey FROM {customer}) a FULL OUTER JOIN (SELECT DISTINCT user_id FROM {events}) b ON a.c_custkey = b.user_id")
 both("join_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n")
 both("join_semi", "SELECT c.c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000)")
-both("join_anti", "SELECT c.c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
+both("join_anti", "SELECT c.c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)")
+both("join_inequality", "SELECT s.s_suppkey, r.r_regionkey FROM {supplier} s JOIN {region} r ON s.s_acctbal > r.r_regionkey * 2000")
+both("join_hint_broadcast", "SELECT /*+ BROADCAST(c) */ o.o_orderkey, c.c_mktsegment FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey")
+both("join_hint_merge", "SELECT /*+ MERGE(c) */ o.o_orderkey, c.c_mktsegment FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey")
+both("join_hint_hash", "SELECT /*+ SHUFFLE_HASH(c) */ o.o_orderkey, c.c_mktsegment FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey")
 both("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 both("join_null_safe", "SELECT a.k, b.n FROM (SELECT CASE WHEN r_regionkey < 3 THEN r_regionkey END AS k FROM {region}) a JOIN (SELECT CASE WHEN n_regionkey < 2 THEN n_regionkey END AS k, count(*) AS n FROM {nation} GROUP BY 1) b ON a.k <=> b.k", "SELECT a.k, b.n FROM (SELECT CASE WHEN r_regionkey < 3 THEN r_regionkey END AS k FROM region) a JOIN (SELECT CASE WHEN n_regionkey < 2 THEN n_regionkey END AS k, count(*) AS n FROM nation GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k")
 both("window_rank", "SELECT c_custkey, row_number() OVER w AS rn, rank() OVER w2 AS rk, dense_rank() OVER w2 AS dr, ntile(4) OVER w AS q FROM {customer} WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey), w2 AS (PARTITION BY c_mktsegment ORDER BY c_nationkey)", "SELECT c_custkey, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER w2 AS INTEGER) AS rk, CAST(dense_rank() OVER w2 AS INTEGER) AS dr, CAST(ntile(4) OVER w AS INTEGER) AS q FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey), w2 AS (PARTITION BY c_mktsegment ORDER BY c_nationkey)")
@@ -246,8 +347,11 @@ both("sort_offset", "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acct
 both("union_all", "SELECT n_name AS name FROM {nation} UNION ALL SELECT r_name FROM {region} UNION ALL SELECT r_name FROM {region}")
 both("union_distinct", "SELECT s_nationkey AS k FROM {supplier} UNION SELECT c_nationkey FROM {customer}")
 both("intersect", "SELECT c_custkey AS k FROM {customer} INTERSECT SELECT user_id FROM {events}")
-both("except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
-both("except_all", "SELECT s_nationkey AS k FROM {supplier} EXCEPT ALL SELECT n_nationkey FROM {nation}")
+both("intersect_all", "SELECT s_nationkey AS k FROM {supplier} INTERSECT ALL SELECT c_nationkey FROM {customer}")
+both("except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 400000")
+both("distinct_on", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events}) WHERE r = 1", "SELECT DISTINCT ON (user_id) user_id, event_id, value FROM events ORDER BY user_id, ts DESC, event_id DESC")
+both("last_value", "SELECT event_id, last_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS newest FROM {events}")
+both("except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT n_nationkey FROM {nation}")
 both("cte", "WITH spent AS (SELECT o_custkey AS k, count(*) AS n FROM {orders} GROUP BY o_custkey), often AS (SELECT k FROM spent WHERE n > 10) SELECT c.c_custkey, s.n FROM {customer} c JOIN spent s ON c.c_custkey = s.k WHERE s.k IN (SELECT k FROM often)")
 both("cte_recursive", "WITH RECURSIVE t(i, v) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT i + 1, v * 2 FROM t WHERE i < 30) SELECT i, v FROM t")
 both("scalar_subquery", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.9 FROM {orders})")

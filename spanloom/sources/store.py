@@ -14,6 +14,7 @@ import hashlib
 import os
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ SUFFIX = ".parquet"
 #: Rows of a row group, and the compression.
 GROUP_ROWS = 10_000
 COMPRESSION = "zstd"
+#: Partitions that are listed side by side.
+LISTED_AT_ONCE = 16
 
 
 def new_id(millis: int | None = None, random: bytes | None = None) -> str:
@@ -101,22 +104,48 @@ class Files:
         fs, p = self._at(path)
         return fs.delete(p, True)
 
+    def write(self, path: str, data: bytes) -> None:
+        fs, p = self._at(path)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(data))
+            out.hsync()
+        finally:
+            out.close()
+
+    def read(self, path: str) -> bytes:
+        fs, p = self._at(path)
+        source = fs.open(p)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+        finally:
+            source.close()
+
     def rename(self, source: str, to: str) -> None:
-        """Moves a file; one of that name, which an earlier attempt left, is replaced."""
-        fs, p = self._at(source)
+        """Moves a file; one of that name, which an earlier attempt left, is replaced in the same step where the store
+        can do that, so that readers never miss it."""
+        _, p = self._at(source)
         q = self.jvm.org.apache.hadoop.fs.Path(to)
-        fs.mkdirs(q.getParent())
-        if fs.exists(q):
-            fs.delete(q, False)
-        if not fs.rename(p, q):
-            raise OSError(f"could not rename {source} to {to}")
-
-    def create_once(self, path: str) -> bool:
-        """Makes an empty file; False if there is one."""
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.getFileSystem(self.conf).getUri(), self.conf)
+        kinds = self.jvm.org.apache.hadoop.fs.Options.Rename
+        flags = self.jvm.java.lang.reflect.Array.newInstance(kinds.OVERWRITE.getClass(), 1)
+        self.jvm.java.lang.reflect.Array.set(flags, 0, kinds.OVERWRITE)
+        context.mkdir(q.getParent(), None, True)
+        context.rename(p, q, flags)
+
+    def age(self, path: str) -> float | None:
+        """Seconds since a file was written; None if there is none."""
+        fs, p = self._at(path)
+        return max(0.0, time.time() - fs.getFileStatus(p).getModificationTime() / 1000) if fs.exists(p) else None
+
+    def create_once(self, path: str, data: bytes = b"") -> bool:
+        """Makes a file; False if there is one."""
         fs, p = self._at(path)
         fs.mkdirs(p.getParent())
         try:
-            fs.create(p, False).close()
+            out = fs.create(p, False)
+            out.write(bytearray(data))
+            out.close()
         except Exception as e:
             if "AlreadyExists" in str(e):
                 return False
@@ -153,7 +182,10 @@ class Store:
         return sorted((f for f in found if f.size >= 0 and f.name.endswith(SUFFIX)), key=lambda f: f.name)
 
     def live_files(self, spec: RecordSpec, values: Iterable[str] | None = None) -> list[File]:
-        return [f for v in (self.partitions(spec) if values is None else values) for f in split_live(self.all_files(spec, v))[0]]
+        """The live files of some partitions, or of all; several are listed at a time."""
+        with ThreadPoolExecutor(LISTED_AT_ONCE) as pool:
+            listed = pool.map(lambda v: split_live(self.all_files(spec, v))[0], self.partitions(spec) if values is None else list(values))
+            return [f for files in listed for f in files]
 
     def read(self, spec: RecordSpec, files: Iterable[File] | None = None) -> DataFrame:
         """The rows of the live files, with ``partition``; columns are as declared, whatever the files say.
@@ -166,15 +198,17 @@ class Store:
             return self.spark.createDataFrame([], spec.read_schema)
         return self.spark.read.schema(spec.read_schema).option("basePath", self.table_path(spec)).parquet(*paths)
 
-    def write(self, spec: RecordSpec, rows: DataFrame, name: Callable[[str, int], str] | None = None, files_per_partition: int = 1) -> list[str]:
+    def write(self, spec: RecordSpec, rows: DataFrame, name: Callable[[str, int], str] | None = None, files_per_partition: int | None = None) -> list[str]:
         """Writes the rows into their partitions and returns the new files.
 
-        Rows are shuffled by partition and, for large writes, by shares of the keys, so that a day is written by up to
-        ``files_per_partition`` tasks; each file is sorted by the file order.
+        Rows are shuffled by partition, and a day that is large is split among tasks by its size; with
+        ``files_per_partition`` by shares of the keys among so many. Each file is sorted by the file order.
         ``name`` gives a file's name by partition and ordinal: the same names on a retry replace what was written.
         """
         keyed = spec.checked(rows).withColumn(PARTITION, partition_column())
-        if files_per_partition > 1:
+        if files_per_partition is None and name is None:
+            dealt = keyed.hint("rebalance", F.col(PARTITION)).sortWithinPartitions(PARTITION, *spec.file_order())
+        elif (files_per_partition or 1) > 1:
             share = F.pmod(F.xxhash64(*spec.primary_key), F.lit(files_per_partition))
             dealt = keyed.withColumn("__share", share).repartition(max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 8 * files_per_partition), PARTITION, "__share").sortWithinPartitions(PARTITION, "__share", *spec.file_order()).drop("__share")
         else:

@@ -1,27 +1,35 @@
 """Ingest: a stream from the landing folder into day partitions.
 
-A micro-batch decodes its bodies on the executors and writes one sorted file for each day. File names follow from the
-query, the batch and the day, so a batch that runs again after a failure replaces its own files. Bodies are deleted
-only when a later batch shows that theirs was committed.
+A flush runs once enough rows wait or one has waited long enough. It is a run of the stream over what is there: its
+batches decode their bodies on the executors and write one sorted file for each day. File names follow from the query,
+the batch and the day, so a batch that runs again after a failure replaces its own files. When the run has ended, its
+batches are committed and their bodies go at once, so that a full landing folder has room again; what a crash leaves
+behind is swept by the stream's own log. A flush that fails leaves its bodies, and senders wait.
 """
 
 from __future__ import annotations
 
+import logging
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.functions import otlp
 from spanloom.sources.records import SPANS, partition_start
 from spanloom.sources.store import SUFFIX, Store, stable_id
 from spanloom.streaming.landing import Landing, arrival_of
 
-#: How long a row waits at most, and bodies of a batch.
+log = logging.getLogger(__name__)
+
+#: How long a row waits at most, the rows that are flushed at once, and how often that is looked at.
 FLUSH_SECONDS = 10
-BODIES_AT_ONCE = 64
+FLUSH_ROWS = 10_000
+LOOK_SECONDS = 1
+#: Bodies of a batch.
+BODIES_AT_ONCE = 4096
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -42,9 +50,11 @@ def decoded(bodies: DataFrame) -> DataFrame:
 
 
 class Ingest:
-    def __init__(self, store: Store, landing: Landing, checkpoint: str):
-        self.store, self.landing, self.checkpoint = store, landing, checkpoint
-        self._before: list[str] = []
+    def __init__(self, store: Store, landing: Landing, checkpoint: str, rows: int = FLUSH_ROWS, seconds: float = FLUSH_SECONDS):
+        self.store, self.landing, self.checkpoint, self.rows, self.seconds = store, landing, checkpoint, rows, seconds
+        self._taken: list[str] = []
+        self._stop = threading.Event()
+        self._thread: threading.Thread | None = None
 
     def write_batch(self, bodies: DataFrame, batch: int, query: str) -> list[str]:
         """Writes one batch under names that it will have again if it is repeated."""
@@ -54,16 +64,21 @@ class Ingest:
             millis = int(day.timestamp() * 1000) + batch % 86_400_000 if day else batch
             return stable_id(max(0, millis), query, batch, value, ordinal) + SUFFIX
 
-        return self.store.write(SPANS, decoded(bodies), name)
+        return self.store.write(SPANS, decoded(bodies), name, files_per_partition=1)
+
+    def flush(self) -> int:
+        """Writes all bodies that wait and deletes them; how many they were."""
+        spark, self._taken = self.store.spark, []
 
-    def _batch(self, query_id: str):
-        def run(bodies: DataFrame, batch: int) -> None:
-            for path in self._before:  # the batch before this one is committed
-                self.store.files.delete(path)
-            self.write_batch(bodies, batch, query_id)
-            self._before = [r["path"] for r in bodies.select("path").collect()]
+        def batch(bodies: DataFrame, number: int) -> None:
+            self.write_batch(bodies, number, self.checkpoint)
+            self._taken += [r["path"] for r in bodies.select("path").collect()]
 
-        return run
+        source = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.otlp").option("maxFilesPerTrigger", BODIES_AT_ONCE)
+        writer = source.load(self.landing.folder).writeStream.option("checkpointLocation", self.checkpoint).foreachBatch(batch)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        self.landing.committed(self._taken)
+        return len(self._taken)
 
     def sweep(self) -> None:
         """Deletes bodies of committed batches that an earlier run left; the stream's own log says which."""
@@ -72,21 +87,26 @@ class Ingest:
         if not commits or not logs:
             return
         entries = self.store.spark.read.schema("path string, batchId long").json(logs)
-        for r in entries.where(f"path is not null and batchId <= {max(commits)}").select("path").distinct().collect():
-            self.store.files.delete(r["path"])
-
-    def start(self, once: bool = False, seconds: int = FLUSH_SECONDS) -> StreamingQuery:
-        spark = self.store.spark
+        self.landing.committed([r["path"] for r in entries.where(f"path is not null and batchId <= {max(commits)}").select("path").distinct().toLocalIterator()])
+
+    def _run(self) -> None:
+        while not self._stop.wait(LOOK_SECONDS):
+            try:
+                if self.landing.due(self.rows, self.seconds):
+                    self.flush()
+            except Exception:
+                log.exception("flush failed; its bodies stay and are tried again")
+
+    def start(self) -> None:
+        """Flushes in the background from now on."""
         self.sweep()
-        source = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.otlp").option("maxFilesPerTrigger", BODIES_AT_ONCE)
-        writer = source.load(str(self.landing.folder)).writeStream.option("checkpointLocation", self.checkpoint).foreachBatch(self._batch(self.checkpoint))
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+        self._thread.start()
 
-    def drain(self, query: StreamingQuery) -> None:
+    def drain(self) -> None:
         """Takes no more bodies, writes those that wait, and stops."""
         self.landing.close()
-        query.processAllAvailable()
-        query.stop()
-        for path in self._before:
-            self.store.files.delete(path)
-        self._before = []
+        self._stop.set()
+        if self._thread:
+            self._thread.join()
+        self.flush()

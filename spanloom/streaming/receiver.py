@@ -52,8 +52,9 @@ def server(landing: Landing, host: str = "127.0.0.1", port: int = 4318) -> Threa
             arrival = datetime.now(UTC)
             try:
                 body = plain(body, self.headers.get("Content-Encoding"))
-                if otlp.decode(body, arrival):  # a body that can't be decoded must never reach the stream
-                    landing.push(body, arrival)
+                rows = len(otlp.decode(body, arrival))  # a body that can't be decoded must never reach the stream
+                if rows:
+                    landing.push(body, arrival, rows)
             except otlp.Malformed as e:
                 return self.answer(400, str(e).encode(), "text/plain")
             except Full:

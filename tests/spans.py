@@ -16,8 +16,8 @@ def label(text: str, size: int) -> bytearray:
 def span(span_id="s1", trace_id="t1", received=None, **more):
     received = received or at(17)
     row = {
-        "organization_id": "4812", "project_id": "91733", "received_at": received, "span_id": label(span_id, 8), "trace_id": label(trace_id, 16),
-        "parent_span_id": None, "service": "checkout", "name": "GET /checkout", "started_at": received, "ended_at": None, "status": "ok",
+        "organization_id": "org-a", "project_id": "web", "received_at": received, "span_id": label(span_id, 8), "trace_id": label(trace_id, 16),
+        "parent_span_id": None, "service": "billing", "name": "send invoice", "started_at": received, "ended_at": None, "status": "ok",
         "status_message": None, "tags": {},
     }
     row.update(more)

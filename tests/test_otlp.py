@@ -96,31 +96,73 @@ def serving():
 
 
 def test_received_spans_reach_their_day_once(spark, tmp_path, serving):
-    landing = Landing(str(tmp_path / "landing"), most_waiting=2)
+    store = Store(spark, str(tmp_path / "store"))
+    landing = Landing(store.files, str(tmp_path / "landing"), most_waiting=2)
     url = serving(receiver.server(landing, port=0)) + "/v1/traces"
     body = request(wire_span())
     assert post(url, body) == (200, b"") and post(url, gzip.compress(body), **{"Content-Encoding": "gzip"})[0] == 200
     assert post(url, body)[0] == 503 and post(url, b"nonsense")[0] == 400 and post(url, b"nonsense", **{"Content-Encoding": "gzip"})[0] == 400 and post(url + "x", body)[0] == 404
     with pytest.raises(Full):
         landing.send(body, at(17), timeout=0.1)
-    store = Store(spark, str(tmp_path / "store"))
     ingest = Ingest(store, landing, str(tmp_path / "checkpoint"))
-    query = ingest.start(seconds=1)
-    ingest.drain(query)
+    ingest.start()
+    ingest.drain()
     assert store.read(SPANS).count() == 2 and landing.waiting() == 0
-    again = Landing(str(tmp_path / "landing"))
+    again = Landing(store.files, str(tmp_path / "landing"))
     again.push(request(wire_span(own=b"\x09" * 8)), at(18))
-    Ingest(store, again, str(tmp_path / "checkpoint")).start(once=True).awaitTermination()
-    assert sorted(store.partitions(SPANS))[0] == "2026-08-18T00:00:00Z" and store.read(SPANS).count() == 3
+    again.committed = lambda paths: None  # as if it had died before its bodies were gone
+    Ingest(store, again, str(tmp_path / "checkpoint")).flush()
+    del again.committed
+    assert sorted(store.partitions(SPANS))[0] == "2026-08-18T00:00:00Z" and store.read(SPANS).count() == 3 and again.waiting() == 1
     Ingest(store, again, str(tmp_path / "checkpoint")).sweep()
     assert again.waiting() == 0
 
 
+def test_a_full_landing_folder_has_room_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    landing = Landing(store.files, str(tmp_path / "landing"), most_waiting=64)
+    ingest = Ingest(store, landing, str(tmp_path / "checkpoint"), seconds=0.5)
+    ingest.start()
+    for i in range(130):  # waits whenever 64 bodies wait
+        landing.send(request(wire_span(own=struct.pack("<Q", i + 1))), at(17), timeout=90)
+    ingest.drain()
+    assert store.read(SPANS).select("span_id").distinct().count() == 130 == store.read(SPANS).count() and landing.waiting() == 0
+
+
+def test_flushes_by_rows_or_by_time(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    landing = Landing(store.files, str(tmp_path / "landing"), most_rows=50)
+    now = datetime.now(UTC)
+    assert not landing.due(10, 0)
+    landing.push(b"x", now, rows=4)
+    assert not landing.due(10, 60) and landing.due(4, 60) and landing.due(10, 0)
+    landing.push(b"x", now, rows=46)
+    with pytest.raises(Full):
+        landing.push(b"x", now, rows=1)
+    landing.committed([f"{landing.folder}/{n}" for n in list(landing._names)])
+    assert landing.push(b"x", now, rows=1)
+
+
+def test_a_flush_that_fails_leaves_its_bodies(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    landing = Landing(store.files, str(tmp_path / "landing"))
+    landing.push(request(wire_span()), at(17))
+    ingest = Ingest(store, landing, str(tmp_path / "checkpoint"))
+    with monkeypatch.context() as m:
+        m.setattr(store, "write", lambda *a, **k: 1 / 0)
+        with pytest.raises(Exception, match="ZeroDivision"):
+            ingest.flush()
+    assert landing.waiting() == 1
+    ingest.flush()
+    assert landing.waiting() == 0 and store.read(SPANS).count() == 1
+
+
 def test_a_repeated_batch_replaces_its_files(spark, tmp_path):
-    store, landing = Store(spark, str(tmp_path / "store")), Landing(str(tmp_path / "landing"))
+    store = Store(spark, str(tmp_path / "store"))
+    landing = Landing(store.files, str(tmp_path / "landing"))
     landing.push(request(wire_span(), wire_span(own=b"\x02" * 8)), at(17))
     ingest = Ingest(store, landing, str(tmp_path / "checkpoint"))
-    bodies = spark.read.format("binaryFile").load(str(landing.folder))
+    bodies = spark.read.format("binaryFile").load(landing.folder)
     assert ingest.write_batch(bodies, 7, "q") == ingest.write_batch(bodies, 7, "q") and store.read(SPANS).count() == 2
 
 
@@ -133,6 +175,18 @@ def test_sql_over_http(spark, tmp_path, serving):
     for bad in (b"{}", b"x", json.dumps({"sql": "drop table spans"}).encode(), json.dumps({"sql": "select nothing from spans"}).encode()):
         assert post(url + "/sql", bad)[0] == 400
     assert json.loads(post(url + "/sql", json.dumps({"sql": "select 1 a", "organization_id": "x"}).encode())[1])["rows"] == [{"a": 1}]
+    get = lambda path: json.loads(urllib.request.urlopen(url + path, timeout=60).read())["rows"]
+    (operation,) = get("/operations?hours=0&search=service:billing%20INV")
+    assert (operation["root_name"], operation["traces"]) == ("send invoice", 1) and get("/operations?hours=0&search=nothing") == []
+    (found,) = get("/traces?hours=0&service=billing&name=send%20invoice&sort=latest")
+    assert found["trace_id"] == "74310000000000000000000000000000" and found["spans"] == 1
+    (bar,) = get(f"/trace?id={found['trace_id']}&first={found['first_partition']}&last={found['last_partition']}")
+    assert (bar["depth"], bar["name"], bar["ended"]) == (0, "send invoice", False)
+    many = json.loads(post(url + "/sql", json.dumps({"sql": "select id from range(12345)"}).encode())[1])["rows"]
+    assert [r["id"] for r in many] == list(range(12345)) and json.loads(post(url + "/sql", json.dumps({"sql": "select 1 a where false"}).encode())[1])["rows"] == []
+    mine = serving(api.server(catalog, port=0, tenant=lambda headers: {"organization_id": headers["X-Org"]})) + "/sql"
+    count = lambda **h: json.loads(post(mine, json.dumps({"sql": "select count(*) n from spans", "organization_id": "org-a"}).encode(), **h)[1])["rows"][0]["n"]
+    assert count(**{"X-Org": "org-a"}) == 1 and count(**{"X-Org": "other"}) == 0
     with urllib.request.urlopen(url + "/", timeout=20) as r:
         assert b"<title>" in r.read()
     assert api.instant(datetime(2026, 1, 1, 0, 0, 0, 946800, tzinfo=UTC)) == "2026-01-01T00:00:00.9468Z"
