@@ -56,6 +56,8 @@ TEXT_AT_ONCE = 2_000_000
 STAR_SHINGLES, STAR_LEADERS = 16_384, 16
 #: Shingles of a chunk in step two, about; a task holds two chunks at most.
 CHUNK_SHINGLES = 100_000
+#: Shares of a bucket in the join that deals its members to chunks.
+SALTS = 32
 #: Registers in which a pair at the threshold agrees, less six standard deviations: fewer and it is no link.
 AGREEING = math.floor(BANDS * ROWS * THRESHOLD - 6 * math.sqrt(BANDS * ROWS * THRESHOLD * (1 - THRESHOLD)))
 
@@ -341,7 +343,9 @@ def _rest(members: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     column = F.transform(up_to("gp"), lambda i: F.struct(i.alias("i"), own.alias("j")))
     row = F.transform(up_to("g"), lambda j: F.struct(mine.alias("i"), j.alias("j")))
     cells = F.explode(F.when(pivot, F.array_distinct(F.concat(column, row))).otherwise(column)).alias("cell")
-    tasks = open_.join(chunks, "key").select("key", "node", pivot.alias("pivot"), "comp", cells)
+    # A hot bucket's rows are dealt by salt as well as by key.
+    chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tasks = open_.withColumn("salt", F.pmod(h, F.lit(SALTS)).cast("int")).join(chunks, ["key", "salt"]).select("key", "node", pivot.alias("pivot"), "comp", cells)
     return scratch.keep(tasks.select("key", "cell.i", "cell.j", "node", "pivot", "comp"), "dedup-rest")
 
 
