@@ -2,10 +2,10 @@
 
 A passage is a line, a block of lines between blank ones, the whole text, or a run of words anywhere in it, of up to
 (2-t)/t times a template's words; a run that is far shorter than a longer template's match around it is a part of that.
-A passage is lower-cased and reduced to its words of letters and digits; its bigrams are a set. Dice is twice the shared bigrams over all of both. For a limit t a
-template of b bigrams can only match a passage of t/(2-t)*b to (2-t)/t*b of them, which prunes nearly all templates
-before any bigram is compared. A match shares at least t/(2-t)*b bigrams, so of each template a few of its words are
-enough to pass over texts that hold none of them.
+A passage is lower-cased and reduced to its words of letters and digits; its bigrams are a set. Dice is twice the shared bigrams over
+all of both. For a limit t a template of b bigrams can only match a passage of t/(2-t)*b to (2-t)/t*b of them, which
+prunes nearly all templates before any bigram is compared. A match shares at least t/(2-t)*b bigrams, so a text is only
+compared with templates of which it holds one of a few words, and is only cut if it holds that many of their bigrams.
 
 Defined cases: a null or empty text has no passage and no licence; of equal scores the first name in order wins;
 repeated rows are scanned each; a null id stays null; an empty table gives no rows; further columns are ignored.
@@ -73,8 +73,8 @@ class Scanner:
         self.templates = [(name, bigrams(text)) for name, text in sorted(templates.items())]
         self.lengths = {name: len(_WORD.findall(text.lower())) - 1 for name, text in templates.items()}
         self.least = limit / (2 - limit)
-        self.anchors = set()
-        for _, b in self.templates:
+        self.anchors: dict[str, list[int]] = {}
+        for k, (_, b) in enumerate(self.templates):
             spare = len(b) - math.ceil(self.least * len(b) - 1e-9) + 1
             # Of so many bigrams a match has one at least; a few long words lie in enough of them.
             count = Counter(w for pair in b for w in set(pair))
@@ -82,60 +82,83 @@ class Scanner:
             for w in sorted(count, key=lambda w: (len(w) < 6, -count[w] if len(w) >= 6 else -len(w), w)):
                 if len(b) - len(left) >= spare:
                     break
-                self.anchors.add(w)
+                self.anchors.setdefault(w, []).append(k)
                 left = {pair for pair in left if w not in pair}
         self.low = min((self.least * len(b) for _, b in self.templates), default=0) - 1e-9
         self.high = max((len(b) / self.least for _, b in self.templates), default=0) + 1e-9
 
-    def windows(self, low: str) -> dict[str, float]:
-        """Each template's best score over the runs of words that begin and end with one of its bigrams."""
-        words = _WORD.findall(low)
+    def shared(self, words: list[str]) -> list[tuple[str, set[tuple[str, str]], set[tuple[str, str]]]]:
+        """(name, its bigrams, those that the words hold) of the templates of which the words hold enough for a match."""
+        kinds = {k for w in self.anchors.keys() & set(words) for k in self.anchors[w]}
+        if not kinds:
+            return []
+        held = set(zip(words, words[1:], strict=False))
+        rows = ((name, b, b & held) for name, b in map(self.templates.__getitem__, sorted(kinds)))
+        return [(name, b, own) for name, b, own in rows if len(own) >= self.least * len(b) - 1e-9]
+
+    def windows(self, words: list[str], kinds: list[tuple[str, set[tuple[str, str]], set[tuple[str, str]]]]) -> dict[str, float]:
+        """Each template's best score over the runs of words that begin and end with one of its bigrams.
+
+        Work is in proportion to the text, times the longest template's reach at most.
+        """
         pairs = list(zip(words, words[1:], strict=False))
+        n = len(pairs)
         at: dict[tuple[str, str], list[int]] = {}
         for i, pair in enumerate(pairs):
             at.setdefault(pair, []).append(i)
-        held = at.keys()
+        before, after = np.full(n, -1), np.full(n, 2 * n)  # where each bigram stood last, and stands next
+        for places in at.values():
+            before[places[1:]] = places[:-1]
+            after[places[:-1]] = places[1:]
         best: dict[str, float] = {}
-        before = None
-        taken: list[tuple[int, int]] = []
-        for name, b in sorted(self.templates, key=lambda t: -self.lengths[t[0]]):
-            shared = b & held
-            if not b or len(shared) < self.least * len(b) - 1e-9:
-                continue
-            if before is None:  # where each bigram stood last
-                before = np.full(len(pairs), -1)
-                for places in at.values():
-                    before[places[1:]] = places[:-1]
-            hit = np.zeros(len(pairs), bool)
-            hit[[i for pair in shared for i in at[pair]]] = True
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        for name, b, own in sorted(kinds, key=lambda t: -self.lengths[t[0]]):
+            hit = np.zeros(n, bool)
+            hit[[i for pair in own for i in at[pair]]] = True
             reach = math.ceil(self.lengths[name] / self.least)
+            starts = np.flatnonzero(hit)
+            ends = np.minimum(starts + reach, n)
+            so_far = np.concatenate([[0], np.cumsum(hit)])
+            enough = so_far[ends] - so_far[starts] >= self.least * len(b) - 1e-9
+            # A run scores more with the bigram before it, if that is the template's too, isn't in the run, and there is room.
+            left = np.maximum(starts - 1, 0)
+            better = (starts > 0) & hit[left] & (after[left] >= starts + reach) & ~((starts + reach <= n) & hit[ends - 1])
+            starts = starts[enough & ~better]
+            around = []
+            for first, last in taken:
+                k = np.maximum(first.searchsorted(starts, "right") - 1, 0)
+                around.append((first[k], last[k]))
             found = []
-            for s in np.flatnonzero(hit):
+            for i, s in enumerate(starts.tolist()):
                 inside = hit[s : s + reach]
                 fresh = before[s : s + reach] < s
                 score = 2 * np.cumsum(fresh & inside) / (np.cumsum(fresh) + len(b))
                 score[~inside] = 0
-                for first, last in taken:  # what a far longer match holds is a part of it
-                    if first <= s <= last:
-                        n = np.arange(1, 1 + min(len(score), last - s + 1))
-                        score[: len(n)][n < self.least * (last - first + 1)] = 0
+                for first, last in around:  # what a far longer match holds is a part of it
+                    if first[i] <= s <= last[i]:
+                        short = math.ceil(self.least * (last[i] - first[i] + 1)) - 1
+                        score[: max(0, min(short, last[i] - s + 1))] = 0
                 e = len(score) - 1 - int(score[::-1].argmax())
                 if score[e] >= self.limit - 1e-9:
                     best[name] = max(best.get(name, 0), float(score[e]))
-                    found.append((-float(score[e]), int(s), int(s) + e))
-            own: list[tuple[int, int]] = []
+                    found.append((-float(score[e]), s, s + e))
+            busy = np.zeros(n, bool)
+            chosen = []
             for _, first, last in sorted(found):
-                if all(last < f or l < first for f, l in own):
-                    own.append((first, last))
-            taken += own
+                if not busy[first : last + 1].any():
+                    busy[first : last + 1] = True
+                    chosen.append((first, last))
+            if chosen:
+                taken.append(tuple(np.array(c) for c in zip(*sorted(chosen), strict=True)))
         return best
 
     def scan(self, text: str) -> list[tuple[str, float]]:
         """(template, best score) of every template that a passage matches."""
-        low = text.lower()
-        if not any(a in low for a in self.anchors):
+        words = _WORD.findall(text.lower())
+        kinds = self.shared(words)
+        if not kinds:
             return []
-        best: dict[str, float] = self.windows(low) if self.runs else {}
+        best: dict[str, float] = self.windows(words, kinds) if self.runs else {}
         for p in passages(text):
             if len(p) <= self.low:
                 continue
@@ -143,7 +166,7 @@ class Scanner:
             n = len(a)
             if not self.low <= n <= self.high:
                 continue
-            for name, b in self.templates:
+            for name, b, _ in kinds:
                 if self.least * len(b) - 1e-9 <= n <= len(b) / self.least + 1e-9:
                     score = 2 * len(a & b) / (n + len(b))
                     if score >= self.limit - 1e-9 and score > best.get(name, 0):

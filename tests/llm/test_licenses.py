@@ -95,3 +95,19 @@ def test_windows_are_the_best():
 def test_table_finds_what_lies_within(spark):
     rows = [(1, "some words before " + ISC + "\nand words after, of which there are many\n" + prose(3, 400))]
     assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).first().license == "ISC-text"
+
+
+def test_many_copies_and_repeated_words():
+    scanner = licenses.Scanner(licenses.TEMPLATES, runs=True)
+    text = licenses.TEMPLATES["MIT-text"]
+    assert dict(scanner.scan((text + "\n\nwords between copies\n") * 40))["MIT-text"] == 1
+    assert scanner.scan("Released under the MIT License.\nand more\n" * 3000) == [("MIT", 1.0)]
+    assert scanner.scan("license " * 100_000) == []
+    two = licenses.Scanner({"a": "a b c d e f g h", "b": "c d e x"}, runs=True)
+    rng = random.Random(5)
+    for _ in range(200):  # the words of a template again and again, so that bigrams stand in a run twice
+        w = rng.choices("abcdefgh", k=4) + list("abcdefgh")[rng.randint(0, 2) :] * 2 + rng.choices("abcd", k=4)
+        b = dict(two.templates)["a"]
+        pairs = list(zip(w, w[1:]))
+        want = max((2 * len(b & set(pairs[i:j])) / (len(b) + len(set(pairs[i:j]))) for i in range(len(pairs)) for j in range(i + 1, min(len(pairs), i + 11) + 1)), default=0)
+        assert abs(dict(two.scan(" ".join(w))).get("a", 0) - (want if want >= 0.8 - 1e-9 else 0)) < 1e-9
