@@ -8,8 +8,12 @@ string or of another backslash is read away.
 Round trip. A turn is first written as it is and parsed by the deterministic parser. If the turn that comes back
 isn't the same, or isn't alone, the control strings in its text are escaped, then its backslashes too, until it is.
 
+The loss mask is part of the output: each written turn says where its text stands (``start``, ``end``, in code points)
+and whether the mask lies over it (``loss``). What is trained on is read back from that, not from the roles.
+
 A turn is a row of its own throughout: turns are written and parsed side by side, and a conversation's digests are
-worked out over its turns in order as they stream by, so no conversation is held in memory.
+worked out over its turns in order as they stream by, so no conversation is held in memory. Texts move once, as written;
+one that was escaped goes along as it was, for the order of turns that repeat a number.
 
 Defined cases: a null text is empty; a null role is written as an unnamed role and comes back as an empty one; a null
 turn comes first; turns that repeat a number are ordered by role and text; a null conv_id is a conversation; an empty
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -105,20 +109,40 @@ def render(role: str | None, text: str | None) -> str:
     raise ValueError("a turn can't be written so that it reads back the same")
 
 
-def rendered_turns(turns: DataFrame) -> DataFrame:
-    """Adds ``formatted`` to (conv_id, turn, role, text); one row a turn."""
+def unescaped(masked: str) -> str:
+    """What a stretch of a rendered turn's text says; ValueError where a control string stands in it."""
+
+    def read(m: re.Match) -> str:
+        if m[1] is None:
+            raise ValueError(f"a control string stands at {m.start()}")
+        return m[1]
+
+    return _TOKEN.sub(read, masked)
+
+
+def rendered_turns(turns: DataFrame, learned: Sequence[str] = ("assistant",)) -> DataFrame:
+    """Adds ``formatted`` and its mask (``start``, ``end``, ``loss``) to (conv_id, turn, role, text); one row a turn.
+
+    ``learned`` are the roles under the mask.
+    """
+    learned = set(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [render(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=["conv_id", "turn", "role", "text", "formatted"])
+            roles = b.column(2).to_pylist()
+            out = [render(r, t) for r, t in zip(roles, b.column(3).to_pylist(), strict=True)]
+            ends = [_opening(r) for r in roles]
+            start = pa.array([len(head) for head, _ in ends], pa.int32())
+            end = pa.array([len(o) - len(tail) for o, (_, tail) in zip(out, ends, strict=True)], pa.int32())
+            loss = pa.array([r in learned for r in roles], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string()), start, end, loss], names=["conv_id", "turn", "role", "text", "formatted", "start", "end", "loss"])
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, formatted string")
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, formatted string, start int, end int, loss boolean")
 
 
 def conversations(formatted: DataFrame) -> DataFrame:
-    """What the rendered conversations say, read back from ``formatted`` alone, one row a conversation."""
+    """What the rendered conversations say, read back from ``formatted`` and its mask, one row a conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -136,16 +160,17 @@ def conversations(formatted: DataFrame) -> DataFrame:
             return b
 
         for b in batches:
-            for conv, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for conv, text, start, end, loss in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if state is None or state[0] != conv:
                     done()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for turn in parse(text):
                     state[1] += 1
                     state[2].update(f"{turn.role}\n{turn.text}\n".encode())
-                    if turn.role == "assistant":  # the loss mask lies over the turn's span
-                        state[3] += len(turn.text)
-                        state[4].update(turn.text.encode())
+                if loss:
+                    masked = unescaped(text[start:end])
+                    state[3] += len(masked)
+                    state[4].update(masked.encode())
                 state[5] += len(text)
                 if len(rows) >= 8192:
                     yield batch()
@@ -153,8 +178,11 @@ def conversations(formatted: DataFrame) -> DataFrame:
         if rows:
             yield batch()
 
-    keyed = formatted.select("conv_id", "turn", "role", "text", "formatted").repartition("conv_id")
-    ordered = keyed.sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text"))).select("conv_id", "formatted")
+    escaped = F.when(F.length("text") != F.col("end") - F.col("start"), F.col("text")).alias("escaped")
+    keyed = formatted.select("conv_id", "turn", "role", escaped, "formatted", "start", "end", "loss").repartition("conv_id")
+    text = F.coalesce("escaped", F.substring("formatted", F.col("start") + 1, F.col("end") - F.col("start")))
+    order = (F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "said"))
+    ordered = keyed.withColumn("said", text).sortWithinPartitions(*order).select("conv_id", "formatted", "start", "end", "loss")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
