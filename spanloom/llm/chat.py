@@ -40,7 +40,8 @@ CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "[/ANS]", "[SYS]", "[/S
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _BACKSLASH = re.compile(r"\\")
 _BOTH = re.compile(r"\\|" + _CONTROL.pattern)
-_TOKEN = re.compile(r"\\(\\|" + _CONTROL.pattern + r")|(" + _CONTROL.pattern + ")")
+# Every alternative begins with a character of its own, so that a search skips what begins none.
+_TOKEN = re.compile(r"\\(\\|" + _CONTROL.pattern + ")|" + _CONTROL.pattern)
 _OPEN = re.compile(r"<s>\[(INST|ANS|SYS|ROLE=((?:[^\]\\]|\\.)*))\] ", re.S)
 
 
