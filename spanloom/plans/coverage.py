@@ -302,6 +302,38 @@ def join_range(spark, sf_dir):
     return range_join(events, orders, "low", "high", "at", 2 * 3600).select("event_id", "o_orderkey")
 
 
+# A stream with late rows
+
+LATE = "event_id % 5 = 0"
+ALLOWED = "2 days"
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH e AS (SELECT ts, value, {LATE} AS late, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events),
+    w AS (SELECT date_trunc('milliseconds', max(ts) FILTER (WHERE NOT late)) - INTERVAL {ALLOWED} AS first,
+                 date_trunc('milliseconds', max(ts)) - INTERVAL {ALLOWED} AS last FROM e)
+    SELECT epoch_us(start) AS start, count(*) AS n, max(value) AS top FROM e, w
+    WHERE (NOT late OR start + INTERVAL 1 HOUR > w.first) AND start + INTERVAL 1 HOUR <= w.last GROUP BY 1""",
+)
+def stream_late_rows(spark, sf_dir):
+    """Hourly windows of a stream: a fifth of the events arrives after the rest, and what the watermark has passed is dropped.
+
+    The stream runs twice from one checkpoint, each time over all that is there, and appends a window once it is closed.
+    """
+    source, log, sink = (shared_path(spark, f"stream-{x}") for x in ("in", "log", "out"))
+    events = table(spark, sf_dir, "events").select(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"), "value", "event_id")
+    out = T.StructType([T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("top", T.DoubleType())])
+    for part in (f"not ({LATE})", LATE):
+        rows = events.where(part).drop("event_id")
+        rows.write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(rows.schema).parquet(source).withWatermark("at", ALLOWED)
+        closed = arriving.groupBy(F.window("at", "1 hour")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
+        flat = closed.select(F.unix_micros("window.start").alias("start"), "n", "top")
+        flat.writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out).parquet(sink)
+
+
 # SQL passed on
 
 D = "CAST(sum(CAST({} AS DECIMAL(18, 4))) AS DOUBLE)"
@@ -316,6 +348,7 @@ both("aggregate_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity
 both("statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_samp(l_discount, l_tax), 8) AS cs, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM {lineitem} GROUP BY l_returnflag")
 both("bool_bit_aggregates", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS all_paid, bool_or(o_totalprice > 400000) AS any_big, bit_and(o_orderkey) AS ba, bit_or(o_custkey) AS bo, bit_xor(o_orderkey) AS bx FROM {orders} GROUP BY o_orderstatus")
 both("median_mode", "SELECT c_mktsegment, round(median(c_acctbal), 6) AS med, max_by(c_name, c_acctbal) AS top, min_by(c_custkey, c_acctbal) AS low FROM {customer} GROUP BY c_mktsegment", "SELECT c_mktsegment, round(median(c_acctbal), 6) AS med, arg_max(c_name, c_acctbal) AS top, arg_min(c_custkey, c_acctbal) AS low FROM {customer} GROUP BY c_mktsegment")
+both("mode", "SELECT c_nationkey, mode(c_mktsegment, true) AS usual FROM {customer} GROUP BY c_nationkey", "SELECT c_nationkey, usual FROM (SELECT c_nationkey, c_mktsegment AS usual, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS r FROM customer GROUP BY 1, 2) WHERE r = 1")
 both("string_aggregate", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey")
 both("array_aggregate", "SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), '|') AS names, size(collect_set(n_regionkey)) AS one FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), '|') AS names, CAST(len(list_distinct(array_agg(n_regionkey))) AS INTEGER) AS one FROM {nation} GROUP BY n_regionkey")
 both("grouping_sets", f"SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS gf, grouping(l_linestatus) AS gs, {PRICE} AS price FROM {{lineitem}} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())", f"SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS TINYINT) AS gf, CAST(grouping(l_linestatus) AS TINYINT) AS gs, {PRICE} AS price FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")

@@ -72,3 +72,12 @@ def test_whole_tables(spark, name, of):
     larger = "/root/testdata/sf0.01"
     rows = coverage.QUERIES[name](spark, larger)
     assert (rows.where("a is not null") if name == "join_full" else rows).count() == coverage.table(spark, larger, of).count()
+
+
+def test_the_stream_drops_late_rows_and_only_those(spark, duck):
+    taken = coverage.QUERIES["stream_late_rows"](spark, SF).agg({"n": "sum"}).first()[0]
+    closed, on_time = duck.execute(
+        f"""select count(*), count(*) filter (where not ({coverage.LATE})) from events
+        where time_bucket(interval 1 hour, ts) + interval 1 hour <= (select max(ts) from events) - interval {coverage.ALLOWED}"""
+    ).fetchone()
+    assert on_time <= taken < closed
