@@ -26,7 +26,7 @@ SUFFIX = ".parquet"
 #: Rows of a row group, and the compression.
 GROUP_ROWS = 10_000
 COMPRESSION = "zstd"
-#: Partitions that are listed side by side.
+#: Partitions that are listed, or whose new files are put in place, side by side.
 LISTED_AT_ONCE = 16
 
 
@@ -215,21 +215,23 @@ class Store:
             dealt = keyed.repartition(PARTITION).sortWithinPartitions(PARTITION, *spec.file_order())
         return self._commit(spec, dealt, name)
 
+    def _placed(self, spec: RecordSpec, day: File, name: Callable[[str, int], str] | None) -> list[str]:
+        """Moves a written day's files to their own names."""
+        value = day.name.removeprefix(PARTITION + "=").replace("%3A", ":")
+        made = []
+        for i, part in enumerate(sorted(f.path for f in self.files.list(day.path) if f.name.endswith(SUFFIX))):
+            made.append(f"{self.table_path(spec)}/{directory(value)}/{name(value, i) if name else new_id() + SUFFIX}")
+            self.files.rename(part, made[-1])
+        return made
+
     def _commit(self, spec: RecordSpec, dealt: DataFrame, name: Callable[[str, int], str] | None) -> list[str]:
         stage = f"{self.table_path(spec)}/_tmp/{new_id()}"
         writer = dealt.write.option("compression", COMPRESSION).option("parquet.block.row.count.limit", str(GROUP_ROWS))
-        made = []
         try:
             writer.partitionBy(PARTITION).parquet(stage)
-            for d in self.files.list(stage):
-                if d.size >= 0:
-                    continue
-                value = d.name.removeprefix(PARTITION + "=").replace("%3A", ":")
-                parts = sorted(f.path for f in self.files.list(d.path) if f.name.endswith(SUFFIX))
-                for i, part in enumerate(parts):
-                    final = f"{self.table_path(spec)}/{directory(value)}/{name(value, i) if name else new_id() + SUFFIX}"
-                    self.files.rename(part, final)
-                    made.append(final)
+            days = [d for d in self.files.list(stage) if d.size < 0]
+            with ThreadPoolExecutor(LISTED_AT_ONCE) as pool:
+                made = [path for paths in pool.map(lambda d: self._placed(spec, d, name), days) for path in paths]
         finally:
             self.files.delete(stage)
         return made
