@@ -347,7 +347,9 @@ both("pricing_summary", f"SELECT l_returnflag, l_linestatus, {D.format('l_quanti
 both("aggregate_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS big, max(l_extendedprice) FILTER (WHERE l_linestatus = 'O') AS top FROM {lineitem} GROUP BY l_returnflag")
 both("statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_samp(l_discount, l_tax), 8) AS cs, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM {lineitem} GROUP BY l_returnflag")
 both("bool_bit_aggregates", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS all_paid, bool_or(o_totalprice > 400000) AS any_big, bit_and(o_orderkey) AS ba, bit_or(o_custkey) AS bo, bit_xor(o_orderkey) AS bx FROM {orders} GROUP BY o_orderstatus")
-both("median_mode", "SELECT c_mktsegment, round(median(c_acctbal), 6) AS med, max_by(c_name, c_acctbal) AS top, min_by(c_custkey, c_acctbal) AS low FROM {customer} GROUP BY c_mktsegment", "SELECT c_mktsegment, round(median(c_acctbal), 6) AS med, arg_max(c_name, c_acctbal) AS top, arg_min(c_custkey, c_acctbal) AS low FROM {customer} GROUP BY c_mktsegment")
+# Nulls are passed over; of equal balances the smallest key counts (~ turns the order round), the first row of tables in key order.
+# The twin takes the first row it meets: that one on one thread or from one row group, else any.
+both("median_mode", "SELECT c_mktsegment, round(median(c_acctbal), 6) AS med, max_by(c_name, struct(c_acctbal, ~c_custkey)) FILTER (WHERE c_acctbal IS NOT NULL AND c_name IS NOT NULL) AS top, min_by(c_custkey, struct(c_acctbal, c_custkey)) FILTER (WHERE c_acctbal IS NOT NULL AND c_custkey IS NOT NULL) AS low FROM {customer} GROUP BY c_mktsegment", "SELECT c_mktsegment, round(median(c_acctbal), 6) AS med, arg_max(c_name, c_acctbal) AS top, arg_min(c_custkey, c_acctbal) AS low FROM {customer} GROUP BY c_mktsegment")
 both("mode", "SELECT c_nationkey, mode(c_mktsegment, true) AS usual FROM {customer} GROUP BY c_nationkey", "SELECT c_nationkey, usual FROM (SELECT c_nationkey, c_mktsegment AS usual, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS r FROM customer GROUP BY 1, 2) WHERE r = 1")
 both("string_aggregate", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey")
 both("array_aggregate", "SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), '|') AS names, size(collect_set(n_regionkey)) AS one FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), '|') AS names, CAST(len(list_distinct(array_agg(n_regionkey))) AS INTEGER) AS one FROM {nation} GROUP BY n_regionkey")

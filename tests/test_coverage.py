@@ -81,3 +81,18 @@ def test_the_stream_drops_late_rows_and_only_those(spark, duck):
         where time_bucket(interval 1 hour, ts) + interval 1 hour <= (select max(ts) from events) - interval {coverage.ALLOWED}"""
     ).fetchone()
     assert on_time <= taken < closed
+
+
+@pytest.mark.parametrize("files", [1, 5])
+@pytest.mark.parametrize("turned", [False, True])
+def test_equal_balances_take_the_first_customer(spark, tmp_path, files, turned):
+    nan = float("nan")
+    odd = [("a", None, 9.0), ("a", "x", None), ("b", "p", nan), ("b", "q", 3.0), ("c", "r", -0.0), ("c", "s", 0.0), ("d", "t", None), (None, "u", 2.0)]
+    rows = [(i, f"n{i}", float(i % 7), "abc"[i % 3]) for i in range(210)] + [(210 + i, name, x, of) for i, (of, name, x) in enumerate(odd)]
+    given = spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string").repartitionByRange(files, "c_custkey")
+    given.sortWithinPartitions("c_custkey", ascending=not turned).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_mktsegment: (norm(r.med), r.top, r.low) for r in coverage.QUERIES["median_mode"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect(config={"threads": 1})  # with more the twin's choice among equals varies
+    con.execute(f"create table customer as select * from read_parquet('{tmp_path}/customer.parquet/*.parquet') order by c_custkey")
+    want = {of: (norm(med), top, low) for of, med, top, low in con.execute(coverage.SQL["median_mode"]).fetchall()}
+    assert got == want and len(got) == 5
